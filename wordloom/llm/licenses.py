@@ -33,7 +33,9 @@ def _shingled(df: DataFrame) -> DataFrame:
     df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
     n = F.size("_h")
     at = lambda i: F.xxhash64(*(F.get("_h", i + j) for j in range(WORDS)))
-    return df.withColumn("_s", F.when(n >= WORDS, F.transform(F.sequence(F.lit(0), n - WORDS), at)).otherwise(F.array().cast("array<long>"))).drop("_h")
+    s = F.when(n >= WORDS, F.transform(F.sequence(F.lit(0), n - WORDS), at)).otherwise(F.array().cast("array<long>"))
+    # through a generator, or filters would be pushed down with the whole expression, once for every element
+    return df.select("*", F.explode(F.array(s)).alias("_s")).drop("_h")
 
 
 def _keys(part: Column, width: Column) -> Column:
@@ -63,15 +65,8 @@ def license_scan(docs: DataFrame, spark: SparkSession, templates: dict[str, str]
         .where(F.arrays_overlap("_s", every))
         .select("doc_id", "_s")
     )
-    windows = F.concat(
-        *(
-            F.transform(
-                F.sequence(F.lit(0), F.size("_s") - 1, F.lit(w)),
-                lambda i, w=w: F.struct(F.lit(w).alias("width"), F.slice("_s", i + 1, 2 * w).alias("part")),
-            )
-            for w in sorted(set(width.values()))
-        )
-    )
+    cut_at = lambda w: lambda i: F.struct(F.lit(w).alias("width"), F.slice("_s", i + 1, 2 * w).alias("part"))
+    windows = F.concat(*(F.transform(F.sequence(F.lit(0), F.size("_s") - 1, F.lit(w)), cut_at(w)) for w in sorted(set(width.values()))))
     cut = hit.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.width", "w.part").where(F.arrays_overlap("part", every))
     keyed = cut.select("doc_id", "part", F.explode(_keys(F.col("part"), F.col("width"))).alias("key"))
     shared = F.size(F.array_intersect("part", "template"))

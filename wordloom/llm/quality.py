@@ -65,17 +65,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
-    return df.withColumn(
-        "_m",
-        F.struct(
-            n.cast("long").alias("n_words"),
-            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            covered.alias("n_repeat_words"),
-            F.size("_lines").cast("long").alias("n_lines"),
-        ),
-    ).drop("_words", "_h", "_win", "_pairs", "_at", "_lines")
+    found = F.struct(
+        n.cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        covered.alias("n_repeat_words"),
+        F.size("_lines").cast("long").alias("n_lines"),
+    )
+    # through a generator, or filters would be pushed down with the whole expressions, once for every element
+    return df.select("*", F.explode(F.array(found)).alias("_m")).drop("_words", "_h", "_win", "_pairs", "_at", "_lines")
 
 
 def hard_failure(rules: Rules) -> Column:

@@ -79,7 +79,7 @@ WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), made AS (
-  SELECT *, 16 + length(regexp_replace(role, '{_CONTROL}', '\\\1', 'g')) + length(regexp_replace(text, '{_CONTROL}', '\\\1', 'g')) AS chars FROM said
+  SELECT *, 18 + length(regexp_replace(role, '{_CONTROL}', '\\\1', 'g')) + length(regexp_replace(text, '{_CONTROL}', '\\\1', 'g')) AS chars FROM said
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -94,8 +94,8 @@ _OP4_TEMPLATES = ", ".join("({!r}, '{}')".format(k, v.replace("'", "''")) for k,
 _OP4 = rf"""
 WITH templates(license, text) AS (VALUES {_OP4_TEMPLATES}),
 texts AS (
-  SELECT NULL AS doc_id, license, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM templates
-  UNION ALL SELECT doc_id, NULL, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), x -> x <> '') FROM documents
+  SELECT NULL AS doc_id, license, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM templates
+  UNION ALL SELECT doc_id, NULL, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM documents
 ),
 placed AS (SELECT doc_id, license, w, unnest(range(0, len(w) - {licenses.WORDS - 1})) AS i FROM texts WHERE len(w) >= {licenses.WORDS}),
 shingles AS (SELECT doc_id, license, i, array_to_string(w[i + 1 : i + {licenses.WORDS}], ' ') AS s FROM placed),
@@ -137,7 +137,7 @@ FROM d
 _R = quality.Rules()
 _OP7 = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 placed AS (SELECT r, words, unnest(range(0, len(words) - 4)) AS i FROM w WHERE len(words) >= 5),
 grams AS (SELECT r, i, array_to_string(words[i + 1 : i + 5], ' ') AS g FROM placed),
 twins AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
