@@ -98,12 +98,8 @@ def host_verdicts(failures: DataFrame) -> DataFrame:
     hosts = failures.groupBy("host").agg(F.sum(F.col("failed").cast("long")).alias("bad"), F.count("*").alias("n"))
     prior = hosts.agg(F.avg(F.col("bad") / F.col("n")).alias("mean"), F.var_pop(F.col("bad") / F.col("n")).alias("var"))
     weight = F.when((F.col("var") > 0) & (F.col("mean") * (1 - F.col("mean")) > F.col("var")), F.col("mean") * (1 - F.col("mean")) / F.nullif("var", F.lit(0.0)) - 1).otherwise(1.0)
-    prior = prior.select(F.lit(1).alias("one"), "mean", weight.alias("weight"))
-    return (
-        hosts.withColumn("one", F.lit(1))
-        .join(F.broadcast(prior), "one")  # one row
-        .select("host", ((F.col("bad") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("share"))
-    )
+    mean, weight = prior.select("mean").scalar(), prior.select(weight).scalar()
+    return hosts.select("host", ((F.col("bad") + mean * weight) / (F.col("n") + weight)).alias("share"))
 
 
 def judged(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", host_col: str = "source") -> DataFrame:
