@@ -63,8 +63,7 @@ def with_seed(found: DataFrame, seed: str) -> DataFrame:
     """(word, cooc, df, seed_df, n_sentences) of the words that share a sentence with the seed."""
     inside = containing(found, [seed])
     together = distinct_postings(inside, lower=True).where(F.col("word") != seed).groupBy("word").agg(F.count("*").alias("cooc"))
-    seed_df = inside.agg(F.count("*").alias("seed_df")).withColumn("_one", F.lit(1))
-    rows = together.join(vocab(found), "word").withColumn("_one", F.lit(1)).join(F.broadcast(seed_df), "_one").drop("_one")
+    rows = together.join(vocab(found), "word").withColumn("seed_df", inside.agg(F.count("*")).scalar())
     return with_size(rows, found)
 
 
@@ -87,9 +86,8 @@ def cluster(found: DataFrame, seed: str, options: Options = Options(), word_scor
         score = score * F.log1p("df")
     rows = rows.withColumn("score", F.round(score, 9)).where((F.col("score") > 0) & (F.col("score") >= options.min_pmi))
     if options.min_score_percent > 0:
-        best = rows.agg(F.max("score").alias("_best")).withColumn("_one", F.lit(1))
-        rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(best), "_one")
-        rows = rows.where(F.col("score") >= F.round(F.col("_best") * options.min_score_percent / 100, 9)).drop("_one", "_best")
+        best = rows.agg(F.max("score")).scalar()
+        rows = rows.where(F.col("score") >= F.round(best * options.min_score_percent / 100, 9))
     if options.excluded:
         rows = rows.where(~F.lower("word").isin(*(w.lower() for w in options.excluded)))
     rows = rows.select("word", "score", "df", "cooc").orderBy(F.desc("score"), "word")

@@ -108,9 +108,8 @@ def size(found: DataFrame) -> DataFrame:
 
 
 def with_size(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with N on each, by an equi-join with one row."""
-    one = size(found).withColumn("_one", F.lit(1))
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+    """``rows`` with N on each, from a scalar subquery."""
+    return rows.withColumn("n_sentences", size(found).scalar())
 
 
 def rounded(column: str | Column, name: str, digits: int = 6) -> Column:
