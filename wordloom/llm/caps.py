@@ -31,7 +31,7 @@ class Caps:
 
     cosine: float = 0.93
     codes: int = 4
-    words: int = 320
+    words: int = 640
     height: float = 4.2
     least: int = 16
     reach: int = 64
@@ -122,33 +122,52 @@ def _filtered(how: Caps):
 
 
 def _linked(how: Caps):
-    def cell(rows: pa.Table) -> pa.RecordBatch:
-        block, i, j = rows.column("block").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        ids = rows.column("id").to_numpy()
-        v = _vectors(rows.column("vector").to_pylist(), rows.column("dim")[0].as_py())
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = np.nonzero(v[left] @ v[right].T >= how.cosine)
-        a, b = ids[left[a]], ids[right[b]]
-        keep = a < b if i == j else a != b
-        a, b = a[keep], b[keep]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def cell(ids: np.ndarray, v: np.ndarray, block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        if i == j:
+            a, b = np.nonzero(np.triu(v @ v.T >= how.cosine, 1))
+            a, b = ids[a], ids[b]
+        else:
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            a, b = np.nonzero(v[left] @ v[right].T >= how.cosine)
+            a, b = ids[left[a]], ids[right[b]]
+        return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         keys = ("label", "dim", "filter", "i", "j")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = [batch.column(c).to_pylist() for c in keys]
-            rows = list(zip(*marks, strict=True))
-            edges = [0, *(k for k in range(1, len(rows)) if rows[k] != rows[k - 1]), len(rows)]
+        held: pa.Table | None = None  # the cell that may go on in the next batch
+
+        def cells(table: pa.Table, last: bool) -> pa.RecordBatch:
+            """Compares all cells but an unfinished last one, which is held."""
+            nonlocal held
+            table = table.combine_chunks()
+            marks = [table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() if c == "label" else table.column(c).to_numpy() for c in keys]
+            new = np.zeros(table.num_rows, dtype=bool)
+            for m in marks:
+                new[1:] |= m[1:] != m[:-1]
+            edges = [0, *np.flatnonzero(new).tolist(), table.num_rows]
+            if not last:
+                held = table.slice(edges[-2])
+                edges = edges[:-1]
+            dims, ids, block = marks[1], table.column("id").to_numpy(), table.column("block").to_numpy()
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            raw = table.column("vector").to_pylist() if len(edges) > 1 else []
+            units: dict[bytes, np.ndarray] = {}
+            for dim in set(dims[: edges[-1]].tolist()):
+                some = list({x for x, d in zip(raw, dims, strict=False) if d == dim})
+                units |= dict(zip(some, _vectors(some, dim), strict=True))
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if held and tuple(held[-1].column(c)[-1].as_py() for c in keys) != rows[s]:
-                    yield cell(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield cell(pa.Table.from_batches(held))
+                v = np.stack([units[x] for x in raw[s:e]])
+                found.append(cell(ids[s:e], v, block[s:e], int(marks[3][s]), int(marks[4][s])))
+            both = np.concatenate([np.stack(f) for f in found], axis=1) if found else np.zeros((2, 0), np.int64)
+            both = np.unique(both, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = pa.Table.from_batches([batch.slice(at, 4096)])
+                yield cells(part if held is None else pa.concat_tables([held, part]), False)
+        if held is not None:
+            yield cells(held, True)
 
     return run
 
