@@ -39,7 +39,7 @@ def _knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[flo
     return float(best[capacity]), column
 
 
-def patterns(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = 5e-4, most: int = 4000) -> list[tuple[int, np.ndarray]]:
+def patterns(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = 5e-3, most: int = 4000) -> list[tuple[int, np.ndarray]]:
     """(times, pieces of each size) that hold the demand exactly, in nearly the fewest bins.
 
     Simplex on the master program, columns priced by ``_knapsack``, until the bound that the best
