@@ -41,12 +41,12 @@ def _over(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(sentences(spark, sf_dir))
 
 
-_shown = ("word", C.rounded("score", "score"), "df", "cooc")
+_shown = ("word", "round(score, 6) AS score", "df", "cooc")
 _plain = A.Options(filter_pos=False)
 
 
 def _cluster(options: A.Options) -> Query:
-    return _over(lambda s: A.cluster(s, SEED, options, T.word_means(s) if options.tfidf_range else None).select(*_shown))
+    return _over(lambda s: A.cluster(s, SEED, options, T.word_means(s) if options.tfidf_range else None).selectExpr(*_shown))
 
 
 def _two(s: DataFrame) -> S.SearchState:
@@ -55,7 +55,7 @@ def _two(s: DataFrame) -> S.SearchState:
 
 def _scoped(s: DataFrame) -> DataFrame:
     rows = A.cluster(S.containing(s, [SCOPE]), SEED, replace(_plain, top_n=100, excluded=(SCOPE,)))
-    return A.by_frequency(rows, "cooc", 100).select(*_shown)
+    return A.by_frequency(rows, "cooc", 100).selectExpr(*_shown)
 
 
 def _stats(s: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ QUERIES: dict[str, Query] = {
     "assoc_pct30": _cluster(replace(_plain, top_n=None, min_score_percent=30.0)),
     "assoc_tfidf_range": _cluster(replace(_plain, tfidf_range=TFIDF_RANGE)),
     "pos_filtered_assoc": _cluster(A.Options()),
-    "assoc_by_freq": _over(lambda s: A.by_frequency(A.cluster(s, SEED, replace(_plain, top_n=100, min_score_percent=30.0)), "df", 20).select(*_shown)),
+    "assoc_by_freq": _over(lambda s: A.by_frequency(A.cluster(s, SEED, replace(_plain, top_n=100, min_score_percent=30.0)), "df", 20).selectExpr(*_shown)),
     "assoc_with_freq": _over(lambda s: A.cluster(s, SEED, _plain).select("word", "df", C.rounded("score", "score"))),
     "assoc_with_sentences": _over(lambda s: S.containing(s, [SEED]).select("sid")),
     "assoc_scoped": _over(_scoped),
