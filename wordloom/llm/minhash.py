@@ -22,15 +22,17 @@ class NearDuplicates:
 
     ``percent``: least similarity in whole percent, compared in integers. ``rows`` coordinates make
     a band; there are so many bands that a pair at the threshold shares none with probability
-    ``miss``. Bucket mates are verified where their sketches agree within ``slack`` standard errors
-    of the threshold. ``block``: bucket members compared with as many others at a time.
+    ``miss``. Mates in unsettled buckets are verified where second sketches, of ``fine`` times as many
+    coordinates, agree within ``slack`` standard errors of the threshold. ``block``: bucket members
+    compared with as many others at a time.
     """
 
     shingle_words: int = 5
     percent: int = 80
     rows: int = 8
     miss: float = 1e-6
-    slack: float = 4.0
+    slack: float = 4.5
+    fine: int = 4
     block: int = 256
 
     @property
@@ -38,36 +40,32 @@ class NearDuplicates:
         """Coordinates of a sketch."""
         return self.rows * band_shape(self.percent / 100, self.rows, self.miss)
 
-    @property
-    def least_agreement(self) -> float:
-        """Share of equal coordinate bytes below which a pair isn't verified."""
+    def least_agreement(self, size: int) -> float:
+        """Share of equal coordinate bytes, of ``size``, below which a pair isn't verified."""
         p = self.percent / 100
-        low = p - self.slack * (p * (1 - p) / self.size) ** 0.5
+        low = p - self.slack * (p * (1 - p) / size) ** 0.5
         return low + (1 - low) / 256
 
 
 def _sketcher(how: NearDuplicates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple[np.ndarray, bytes]] = {}  # copies follow one another often
+        seen: dict[bytes, np.ndarray] = {}  # copies follow one another often
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ns, digests, keys, bytes_ = [], [], [], []
+                ns, digests, keys = [], [], []
                 for values in sets(part.column(1), how.shingle_words):
                     ns.append(len(values))
                     d = digest(values) if len(values) else None
                     digests.append(d)
                     if d is None:
                         keys.append([])
-                        bytes_.append(None)
                         continue
                     if d not in seen:
                         if len(seen) > 5_000:
                             seen.clear()
-                        s = sketch(values, how.size)
-                        seen[d] = bands(s, how.rows), (s & np.uint64(255)).astype(np.uint8).tobytes()
-                    keys.append(seen[d][0])
-                    bytes_.append(seen[d][1])
+                        seen[d] = bands(sketch(values, how.size), how.rows)
+                    keys.append(seen[d])
                 flat = np.concatenate([np.asarray(k, dtype=np.int64) for k in keys]) if keys else np.zeros(0, np.int64)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -76,9 +74,8 @@ def _sketcher(how: NearDuplicates):
                         pa.array(ns, pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                        pa.array(bytes_, pa.binary()),
                     ],
-                    names=["id", "n", "digest", "keys", "bytes"],
+                    names=["id", "n", "digest", "keys"],
                 )
 
     return run
@@ -95,6 +92,17 @@ def _hashed(words: int):
     return run
 
 
+def _second(size: int):
+    """Low bytes of an independent sketch of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [(sketch(np.frombuffer(v.as_buffer(), "<u8"), size, seed=2) & np.uint64(255)).astype(np.uint8).tobytes() for v in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(low, pa.binary())], names=["id", "bytes"])
+
+    return run
+
+
 def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,21 +128,29 @@ def verified(pairs: DataFrame, shingle_sets: DataFrame, percent: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_similar(percent), "a long, b long").distinct()
 
 
-def _mates(least: float, size: int):
-    """Pairs of a cell's two blocks that have different labels and agree in enough sketch bytes."""
+def _mates(how: NearDuplicates):
+    """Pairs of a cell's two blocks that have different labels and agree in enough sketch bytes.
+
+    A pair may be mates in several buckets; only that of its first shared band reports it."""
+    size, coarse = how.size * how.fine, how.size
+    least, least_coarse = how.least_agreement(size), how.least_agreement(coarse)
 
     def cell(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
-        block, i, j = rows.column("block").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        block, i, j, key = rows.column("block").to_numpy(), *(rows.column(c)[0].as_py() for c in ("i", "j", "key"))
         found: list[np.ndarray] = []
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if len(left) and len(right) and labels.min() < labels.max():
             bytes_ = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(-1, size)
-            other = bytes_[right]
+            keys = np.array(rows.column("keys").to_pylist(), np.int64)
+            other = np.ascontiguousarray(bytes_[right, :coarse])
             for k in left:
-                near = right[(other == bytes_[k]).mean(axis=1) >= least]
+                near = right[(other == bytes_[k, :coarse]).mean(axis=1) >= least_coarse]
                 near = near[(labels[near] != labels[k]) & ((i != j) | (ids[near] > ids[k]))]
+                near = near[(bytes_[near] == bytes_[k]).mean(axis=1) >= least] if len(near) else near
                 if len(near):
+                    shared = keys[near] == keys[k]
+                    near = near[shared.any(axis=1) & (keys[k][shared.argmax(axis=1)] == key)]
                     found.append(np.stack([np.minimum(ids[near], ids[k]), np.maximum(ids[near], ids[k])]))
         both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return both[0], both[1]
@@ -169,7 +185,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     Documents with equal shingle sets are one class, found by a digest and represented by the least
     id; only classes are sketched against each other, so copies never meet as pairs. Every bucket's
     members are verified against its least member first; after components, only bucket mates that
-    are still in different ones are compared, in blocks, by sketch and then on full sets. A bucket
+    are still in different ones are compared, in blocks, by finer sketches and then on full sets. A bucket
     of any size is thus spread over many tasks, and nothing is capped.
 
     A null or wordless text has no shingles, links with nothing and keeps its own id. A null id
@@ -179,7 +195,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = written(
-        own.mapInArrow(_sketcher(how), "id long, n long, digest binary, keys array<long>, bytes binary"), "sketches"
+        own.mapInArrow(_sketcher(how), "id long, n long, digest binary, keys array<long>"), "sketches"
     )
     whole = sketched.where("n > 0 and id is not null")
     classes = whole.groupBy("digest").agg(F.min("id").alias("rep"))
@@ -200,16 +216,17 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     named = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     split = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     open_ = named.join(split.select("key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks")), "key")
-    sketches = reps.select("id", "bytes").distinct()
+    unsettled = shingle_sets.join(open_.select("id").distinct(), "id", "left_semi")
+    second = unsettled.mapInArrow(_second(how.size * how.fine), "id long, bytes binary").join(reps.select("id", "keys"), "id")
     cells = (
-        open_.join(sketches, "id")
+        open_.join(written(second, "second"), "id")
         .withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "bytes")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "bytes", "keys")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
-    mates = cells.mapInArrow(_mates(how.least_agreement, how.size), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    mates = cells.mapInArrow(_mates(how), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     late = written(verified(written(mates, "mates"), shingle_sets, how.percent), "links")
     if not late.isEmpty():
         labels = components(links.unionByName(late))
