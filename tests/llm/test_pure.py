@@ -95,6 +95,18 @@ def test_bpe_equals_the_library():
             assert codec.decode(ids) == text.encode()
 
 
+def test_tokens_of_every_letter():
+    """Each character below U+3000 inside, before and after words, with suffixes, controls and special strings."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), packing.Tokens(path)
+    assert own.split
+    odd = [f"{c}A{c}'S I'VE{c} don't{c}x <|endoftext|>{c}y Stra\u00dfe{c} a\x0bb 12,5{c}" for c in map(chr, range(0x3000))]
+    for text in odd:
+        assert own(text) == np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
+
+
 def test_words_are_encoded_apart():
     from tokenizers import Tokenizer
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +21,7 @@ CAPACITY = 4096
 #: Lengths are rounded up to this many tokens for the linear program; at most CAPACITY / GRAIN classes.
 GRAIN = 16
 END_ID = 2
-#: Distinct words whose ids a worker remembers at once.
+#: Distinct words, and pieces of words, whose ids a worker remembers at once.
 MEMORY = 400_000
 
 
@@ -86,21 +90,61 @@ def patterns(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float =
     return plan
 
 
+# How the vocabulary's file prepares a text, as read from its tokenizer.
+_PREPARED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+#: Letters beyond ASCII that NFC leaves alone and that have one lower-case letter.
+_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"[!-~{_LETTERS}]+")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z{_LETTERS}]+|[0-9]|[^A-Za-z0-9{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class Tokens:
     """Ids of the words of a text; words recur, so each is encoded once while it is remembered.
 
     The vocabulary drops white space and never merges across it, so a text's ids are its words' ids.
+    A word of ASCII and common Latin letters is split and lower-cased here, and its pieces go straight to the
+    tokenizer's model and are remembered too; all other words go through the whole tokenizer, as do
+    all words of a tokenizer that prepares texts otherwise.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode, self.known = Tokenizer.from_file(path).encode, {"": b""}
+        whole = Tokenizer.from_file(path)
+        self.encode, self.model, self.known, self.pieces = whole.encode, whole.model, {"": b""}, {}
+        prepared = tuple(json.loads(part.__getstate__()) if part else None for part in (whole.normalizer, whole.pre_tokenizer))
+        self.split = prepared == _PREPARED and not self.model.dropout and all("<|" in t.content for t in whole.get_added_tokens_decoder().values())
+        self.letters = _byte_letters()
+
+    def _piece(self, piece: str) -> bytes:
+        if len(self.pieces) >= MEMORY:
+            self.pieces.clear()
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        found = [t.id for t in self.model.tokenize(letters)]
+        ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
+        return ids
 
     def _missing(self, word: str) -> bytes:
         if len(self.known) >= MEMORY:
             self.known.clear()
-        ids = self.known[word] = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes() if word else b""
+        if self.split and "<|" not in word and _PLAIN.fullmatch(word):
+            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(word.lower())])
+        else:
+            ids = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes() if word else b""
+        self.known[word] = ids
         return ids
 
     def __call__(self, text: str) -> bytes:
@@ -110,9 +154,15 @@ class Tokens:
         return b"".join([get(w) if w in self.known else missing(w) for w in words])
 
 
+@lru_cache(maxsize=1)
+def _tokens(path: str) -> Tokens:
+    """What a worker remembers goes from task to task."""
+    return Tokens(path)
+
+
 def _cut(path: str, capacity: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, nth = Tokens(path), TaskContext.get().partitionId(), {}
+        tokens, part, nth = _tokens(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some, rows = batch.slice(at, 512), []
