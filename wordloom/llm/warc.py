@@ -104,6 +104,7 @@ def _write(folder: str, date: str):
                             # each attempt of a task has files of its own; only a committed index names them
                             name, size = f"{uuid.uuid4().hex}.warc.gz", 0
                             out = store.open_output_stream(f"{path}/{name}", compression=None)
+                        row["payload_digest"] = base64.b32encode(row["sha"]).decode()
                         member = record(row, date)
                         out.write(member)
                         made.append({k: row[k] for k in ("page_id", "url", "payload_digest", "record_type")} | {"file": f"{folder}/{name}", "offset": size, "length": len(member)})
@@ -164,19 +165,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     firsts = rows.groupBy("sha", "size").agg(F.max("page_id").alias("first"))
     revisit = (F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     ready = rows.join(firsts, ["sha", "size"]).select(
-        "page_id", "url", "payload", _base32(F.col("sha")).alias("payload_digest"),
+        "page_id", "url", "payload", "sha",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
     )
     return written(ready.mapInArrow(_write(folder, date), INDEX), "cdx")
 
 
-def _base32(sha: F.Column) -> F.Column:
-    """Upper-case base32 of 20 bytes: 32 groups of five bits."""
-    bits = F.lpad(F.concat(*(F.lpad(F.conv(F.hex(F.substring(sha, 1 + 5 * k, 5)), 16, 2), 40, "0") for k in range(4))), 160, "0")
-    letter = lambda k: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(bits, 5 * k + 1, 5), 2, 10).cast("int") + 1, F.lit(1))
-    return F.concat(*(letter(k) for k in range(32)))
-
-
 def read_records(index: DataFrame) -> DataFrame:
     """The records that ``index`` rows name: page_id, url, record_type, payload_digest, refers_to, payload.
 
