@@ -19,6 +19,8 @@ from .stage import new_path, written
 ARCHIVE_BYTES = 256 << 20
 #: Records that lie at most GAP apart are read at once, up to READ_BYTES.
 GAP, READ_BYTES = 64 << 10, 4 << 20
+#: Archive bytes that a task reads, about.
+TASK_BYTES = 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 INDEX = "page_id long, url string, payload_digest string, record_type string, file string, offset long, length long"
@@ -174,11 +176,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 def read_records(index: DataFrame) -> DataFrame:
     """The records that ``index`` rows name: page_id, url, record_type, payload_digest, refers_to, payload.
 
-    Rows are sorted by file and offset within stretches of READ_BYTES, so that neighbours are read together.
+    Rows are sorted by file and offset within stretches of archives, so that neighbours are read together.
+    There are as many tasks as the selected records' bytes ask for: rows of the index are small, so their own size
+    would put gigabytes of records into one task.
     """
+    total = index.agg(F.sum("length")).first()[0] or 0
     stretch = F.floor(F.col("offset") / (16 * READ_BYTES))
     near = index.select("file", "offset", "length").withColumn("stretch", stretch)
-    return near.repartition("file", "stretch").sortWithinPartitions("file", "offset").drop("stretch").mapInArrow(_read, RECORD)
+    return near.repartition(total // TASK_BYTES + 1, "file", "stretch").sortWithinPartitions("file", "offset").drop("stretch").mapInArrow(_read, RECORD)
 
 
 def resolved(records: DataFrame) -> DataFrame:
