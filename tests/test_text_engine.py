@@ -85,3 +85,27 @@ def test_queries_equal_their_sql(spark, name):
     columns = sorted(df.columns)
     expected = con.execute(f"select {', '.join(columns)} from ({oracle.SQL[name]})").fetchall()
     assert sorted(map(str, map(tuple, df.select(columns).collect()))) == sorted(map(str, expected))
+
+
+@pytest.mark.parametrize("name", ["pair_cooc", "pmi_pairs", "npmi_pairs"])
+def test_all_pairs_equal_the_sql_without_its_bound(spark, name, tmp_path):
+    spark.read.parquet(f"{DIR}/documents.parquet").orderBy("doc_id").limit(25).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = oracle.SQL[name].replace(f"df >= {queries.PAIR_DF}", "df >= 1")
+    assert sql != oracle.SQL[name]
+    df = queries.QUERIES[f"{name}_all"](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    found = df.select(columns).collect()
+    expected = con.execute(f"select {', '.join(columns)} from ({sql})").fetchall()
+    assert len(found) > 1000 and sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+
+
+def test_all_pairs_equal_brute_force(found):
+    pairs = {}
+    for row in ROWS:
+        words = sorted(set(row.split()))
+        for i, a in enumerate(words):
+            for b in words[i + 1 :]:
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    assert {(r["w1"], r["w2"]): r["cooc"] for r in A.pair_counts(found).collect()} == pairs

@@ -109,10 +109,14 @@ QUERIES: dict[str, Query] = {
     "seq_search_related": _over(lambda s: S.related(s, _two(s))),
     "and_contains": _over(lambda s: S.containing(s, [SEED, OTHER]).select("sid")),
     "seed_context_words": _over(lambda s: S.context_words(s, SEED)),
+    # pairs of words in PAIR_DF sentences at least, as their SQL has them; *_all are over every word
     "pair_cooc": _over(lambda s: A.pair_counts(s, PAIR_DF)),
+    "pair_cooc_all": _over(A.pair_counts),
     "pair_lookup": _over(lambda s: A.pair_count(s, SEED2, SEED)),
     "pmi_pairs": _over(lambda s: A.scored_pairs(s, PAIR_DF).select("w1", "w2", "cooc", C.rounded("pmi", "pmi"))),
     "npmi_pairs": _over(lambda s: A.scored_pairs(s, PAIR_DF).select("w1", "w2", "cooc", C.rounded("npmi", "npmi"))),
+    "pmi_pairs_all": _over(lambda s: A.scored_pairs(s).select("w1", "w2", "cooc", C.rounded("pmi", "pmi"))),
+    "npmi_pairs_all": _over(lambda s: A.scored_pairs(s).select("w1", "w2", "cooc", C.rounded("npmi", "npmi"))),
     "assoc_default": _cluster(_plain),
     "assoc_npmi": _cluster(replace(_plain, use_npmi=True)),
     "assoc_min_freq": _cluster(replace(_plain, min_freq=MIN_DF)),
