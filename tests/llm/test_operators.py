@@ -1,6 +1,7 @@
 """Operators over small tables: brute force, ties, nulls, empty tables, repeated rows, clashing names."""
 
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -91,6 +92,30 @@ def test_licenses(spark):
     assert licenses.license_scan(spark.createDataFrame([], "doc_id long, text string"), spark).count() == 0
 
 
+def wrapped(text, leader, width=70):
+    return "\n".join(leader + line for line in textwrap.wrap(text, width))
+
+
+def test_licenses_in_comments_and_families(spark):
+    T, M = licenses.TEMPLATES, licenses.MORE
+    texts = [
+        wrapped(T["apache-2.0-notice"], "# "), wrapped(T["mit-grant"], "// "), "/*\n" + wrapped(T["gpl-3.0-notice"], " * ") + "\n */",
+        "Released under the MIT License, see LICENSE", "(Licensed under CC BY-NC 4.0)", wrapped(M["gpl-2.0-notice"], "-- "), M["lgpl-2.1-notice"],
+        T["agpl-3.0"], f"{T['agpl-3.0']} And: {T['gpl-3.0-notice']}", wrapped(M["mit-disclaimer"], ";; "), M["gpl-2.0-line"], T["gpl-3.0-line"], "#" * 100_000 + "a",
+    ]
+    expected = [
+        {"apache-2.0-notice"}, {"mit-grant"}, {"gpl-3.0-notice"}, {"mit-line"}, {"cc-by-nc-4.0-line"}, {"gpl-2.0-notice"}, {"lgpl-2.1-notice"},
+        {"agpl-3.0"}, {"agpl-3.0", "gpl-3.0-notice"}, {"mit-disclaimer"}, {"gpl-2.0-line"}, {"gpl-3.0-line"}, set(),
+    ]
+    more = licenses.TEMPLATES | licenses.MORE
+    rows = list(enumerate([*texts, *more.values()]))
+    found = [set() for _ in rows]
+    for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect():
+        found[r["doc_id"]].add(r["license"])
+    assert found[: len(texts)] == expected
+    assert found[len(texts) :] == [{name} for name in more]
+
+
 @pytest.mark.parametrize("dim", [3, 64])
 def test_caps_equal_brute_force(spark, dim):
     rng = np.random.default_rng(dim)

@@ -25,11 +25,50 @@ TEMPLATES = {
     "mit-line": "Released under the MIT License.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+#: Fixed values too: more notices and lines, and of long licenses the passage that stands for their full text.
+MORE = {
+    "agpl-3.0-text": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "apache-2.0-text": "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+    "bsd-3-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "cc-by-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-nc-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-nd-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0": "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-sa-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-2.0-only-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl-2.0-text": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "gpl-3.0-text": "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+    "isc-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "lgpl-2-text": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "lgpl-2.0-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-2.1-text": "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it.",
+    "lgpl-3.0-library-notice": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-3.0-text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "mit-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mpl-2.0-text": "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+}
+#: Between words: white space with what is not a letter, mark or digit around it, comment leaders too. It starts where such a run does, so it is linear.
+BETWEEN = r"(?<![^\p{L}\p{M}\p{N}])[^\p{L}\p{M}\p{N}\x20\x09-\x0D]*+[\x20\x09-\x0D][^\p{L}\p{M}\p{N}]*+"
 
 
 def _shingled(df: DataFrame) -> DataFrame:
     """Adds ``_s``, the hashes of the 5-word shingles of ``text`` in order; fewer words have none."""
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    words = F.array_remove(F.split(F.concat(F.lit(" "), F.lower(F.coalesce("text", F.lit(""))), F.lit(" ")), BETWEEN), "")
     df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
     n = F.size("_h")
     at = lambda i: F.xxhash64(*(F.get("_h", i + j) for j in range(WORDS)))
@@ -45,12 +84,14 @@ def _keys(part: Column, width: Column) -> Column:
     )
 
 
-def license_scan(docs: DataFrame, spark: SparkSession, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, spark: SparkSession, templates: dict[str, str] = TEMPLATES | MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and license found: doc_id, license, n_shared, n_template (distinct shingles).
 
     A template of m shingles is of width class W, the least power of two from m on; windows of 2W
     shingles start every W, so an occurrence lies wholly in one. n_shared is the most that a window
     holds. Texts without any template's shingle can't collide and leave before windows are made.
+    A license whose shared shingles are all held by another that shares more, or as many of a
+    shorter template, has nothing of its own there and is left to that one.
     Rows that share an id, null included, are reported together; a null or short text has no
     license; an empty table gives no rows; other columns are ignored.
     """
@@ -69,10 +110,15 @@ def license_scan(docs: DataFrame, spark: SparkSession, templates: dict[str, str]
     windows = F.concat(*(F.transform(F.sequence(F.lit(0), F.size("_s") - 1, F.lit(w)), cut_at(w)) for w in sorted(set(width.values()))))
     cut = hit.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.width", "w.part").where(F.arrays_overlap("part", every))
     keyed = cut.select("doc_id", "part", F.explode(_keys(F.col("part"), F.col("width"))).alias("key"))
-    shared = F.size(F.array_intersect("part", "template"))
-    return (
+    both = F.array_intersect("part", "template")
+    best = (
         keyed.join(F.broadcast(table), "key")  # BANDS rows a template
-        .where(100 * shared >= PERCENT * F.size("template"))
+        .where(100 * F.size(both) >= PERCENT * F.size("template"))
         .groupBy("doc_id", "license")
-        .agg(F.max(shared).cast("long").alias("n_shared"), F.max(F.size("template")).cast("long").alias("n_template"))
+        .agg(F.max(F.struct(F.size(both).alias("n"), F.array_sort(both).alias("s"))).alias("b"), F.max(F.size("template")).alias("m"))
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("license", "b.n", "b.s", "m")).alias("all"))  # a row per template at most
     )
+    left_to = lambda x: lambda y: (F.size(F.array_except(x["s"], y["s"])) == 0) & ((y["n"] > x["n"]) | (y["m"] < x["m"]))
+    own = F.filter("all", lambda x: ~F.exists("all", left_to(x)))
+    return best.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.license", F.col("x.n").cast("long").alias("n_shared"), F.col("x.m").cast("long").alias("n_template"))
