@@ -82,6 +82,19 @@ def test_pii_equals_plain_regexes():
     assert pii.mask("to a@b.cd now", pii.find_spans("to a@b.cd now")) == "to [EMAIL] now"
 
 
+def test_ibans_before_other_words():
+    numbers = ["BE68 5390 0754 7034", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    for n in numbers:
+        for after in ("", " BIC", " EUR", " 2024", " GEBABEBB", " BIC GEBABEBB", ", BIC", " A", " AB12", " please"):
+            assert [(s.kind, s.start, s.end) for s in pii.find_spans(f"IBAN {n}{after}") if s.kind == "iban"] == [("iban", 5, 5 + len(n))], (n, after)
+    text = "bank " + " ".join(numbers)
+    assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"] == numbers
+    assert pii.mask(f"IBAN {numbers[0]} BIC X", pii.find_spans(f"IBAN {numbers[0]} BIC X")) == "IBAN [IBAN] BIC X"
+    assert any(s.kind == "iban" for s in pii.find_spans("IBAN AA12 3456 BE68 5390 0754 7034 BIC"))
+    assert not any(s.kind == "iban" for s in pii.find_spans("IBAN BE68 5390 0754 7035 BIC"))
+    assert len(pii.find_spans("AA11 1111 " * 20_000)) == 0
+
+
 def test_bpe_equals_the_library():
     whole = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 1 << 30)
     r = random.Random(4)

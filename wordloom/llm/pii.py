@@ -36,6 +36,19 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+#: Characters of an IBAN by country.
+_IBAN_CHARS = {
+    k: int(n)
+    for n, countries in (
+        entry.split(":")
+        for entry in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+            "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA "
+            "30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for k in countries.split(",")
+}
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -80,6 +93,22 @@ def _part_ok(part: str) -> bool:
     return len(part) < 3 or (len(part) == 3 and part <= "255")
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches cut to their country's length where that is an IBAN, else whole; what is left of one, or follows the start of a wrong one, is searched again."""
+    m = _IBAN.search(text)
+    while m:
+        at, end, left = m.start(), m.start(), _IBAN_CHARS.get(m[0][:2], 0)
+        while left and end < m.end():
+            left -= text[end] != " "
+            end += 1
+        whole = not left and end > at and (end == m.end() or not text[end].isalnum()) and mod97(text[at:end].replace(" ", ""))
+        if not whole:
+            end = m.end() if mod97(m[0].replace(" ", "")) else 0
+        if end:
+            yield at, end
+        m = _IBAN.search(text, end or at + 1)
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans that their pattern and checksum confirm."""
     if "@" in text:
@@ -91,7 +120,7 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "card", *m.span()
     if "+" in text:
         yield from (("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_NOT_DIGITS.sub("", m[0])) <= 15)
-    yield from (("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", "")))
+    yield from (("iban", *found) for found in _ibans(text))
     if "-" in text:
         yield from (("ssn", *m.span()) for m in _SSN.finditer(text))
 
