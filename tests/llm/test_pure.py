@@ -108,6 +108,16 @@ def test_bpe_equals_the_library():
             assert codec.decode(ids) == text.encode()
 
 
+def test_bpe_takes_all_of_a_very_long_text():
+    class Long(str):
+        def __len__(self):
+            return (1 << 30) + 5
+
+    codec, text = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 1 << 40), Long("a")
+    codec._ids = lambda part: part
+    assert codec.encode(text) is text
+
+
 def test_tokens_of_every_letter():
     """Each character below U+3000 inside, before and after words, with suffixes, controls and special strings."""
     from tokenizers import Tokenizer

@@ -22,8 +22,6 @@ WINDOW = 64
 #: point are the same in the half and in the whole, whatever follows or precedes. Python's \s must
 #: not see more white space than the pattern's, so only characters that both take count here.
 _STABLE = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \t\n\r])")
-#: Leaf texts and texts not yet split.
-_SIDE = 1 << 30
 
 
 @lru_cache(maxsize=4)
@@ -77,8 +75,8 @@ class Codec:
         skip = self._tail(right, len(text[mid:b].encode()), False)
         return np.concatenate([left[:cut], self._ids(text[a:b]), right[skip:]])
 
-    def encode(self, text: str, low: int = 0, high: int = _SIDE) -> np.ndarray:
-        high = min(high, len(text))
+    def encode(self, text: str, low: int = 0, high: int | None = None) -> np.ndarray:
+        high = len(text) if high is None else min(high, len(text))
         if high - low <= self.leaf:
             return self._ids(text[low:high] if high - low < len(text) else text)
         mid = (low + high) // 2
