@@ -23,10 +23,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word, 0.8 near-duplicates: the one with the least id; a repeated row stays once."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group of five-word, 0.8 near-duplicates: the one with the least id; a repeated row stays once.
+
+    Rows of null or repeated ids are documents of their own and come after all others, by their place in the input.
+    """
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_again"))
+    last = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0))).scalar()
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(again, "doc_id", "left")
+    own = F.when(F.col("doc_id").isNull() | F.col("_again"), last + 1 + F.col("_row")).otherwise(F.col("doc_id").cast("long"))
+    keyed = written(rows.withColumn("_key", own), "keyed")
+    kept = minhash.near_duplicates(keyed, id_col="_key").where("kept").select(F.col("doc_id").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

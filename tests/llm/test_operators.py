@@ -235,3 +235,13 @@ def test_pipeline_stages(spark):
     for k in expected:
         assert masked[k]["text"] == pii.mask(texts[k], pii.find_spans(texts[k])) and masked[k]["n_chars"] == len(masked[k]["text"])
     check_packed(corpus_pipeline.run(spark, DIR).collect(), {k: r["text"] for k, r in masked.items()})
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(None, a), (None, a), (7, a), (1, b), (3, b), (3, c), (None, c + " end"), (None, d), (None, d), (5, "x y"), (5, "x y"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_chars long")
+    one = corpus_pipeline.no_near_duplicates(spark, docs, DIR)
+    found = sorted((str(r["doc_id"]), str(r["text"])) for r in one.collect())
+    assert found == sorted([("7", a), ("1", b), ("3", c), ("None", d), ("5", "x y"), ("6", "None")]) and one.columns == docs.columns
+    assert corpus_pipeline.no_near_duplicates(spark, docs.limit(0), DIR).count() == 0
