@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sketch import band_shape, bands, sketch
-from .stage import written
+from .stage import drop, written
 from .wordsets import digest, sets
 
 
@@ -23,17 +23,19 @@ class NearDuplicates:
     ``percent``: least similarity in whole percent, compared in integers. ``rows`` coordinates make
     a band; there are so many bands that a pair at the threshold shares none with probability
     ``miss``. Mates in unsettled buckets are verified where second sketches, of ``fine`` times as many
-    coordinates, agree within ``slack`` standard errors of the threshold. ``block``: bucket members
-    compared with as many others at a time.
+    coordinates, agree within ``slack`` standard errors of the threshold; with a ``slack`` of None
+    all of them are verified. ``block``: bucket members compared with as many others at a time.
+    ``parts``: stretches that the rows of one class are dealt into.
     """
 
     shingle_words: int = 5
     percent: int = 80
     rows: int = 8
     miss: float = 1e-6
-    slack: float = 4.5
+    slack: float | None = 4.5
     fine: int = 4
     block: int = 256
+    parts: int = 256
 
     @property
     def size(self) -> int:
@@ -42,6 +44,8 @@ class NearDuplicates:
 
     def least_agreement(self, size: int) -> float:
         """Share of equal coordinate bytes, of ``size``, below which a pair isn't verified."""
+        if self.slack is None:
+            return 0.0
         p = self.percent / 100
         low = p - self.slack * (p * (1 - p) / size) ** 0.5
         return low + (1 - low) / 256
@@ -188,6 +192,9 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     are still in different ones are compared, in blocks, by finer sketches and then on full sets. A bucket
     of any size is thus spread over many tasks, and nothing is capped.
 
+    The rows of a class meet its component in ``parts`` stretches, so copies of one text, however
+    many, are not one task either. A text of any length is one row, worked on as a whole.
+
     A null or wordless text has no shingles, links with nothing and keeps its own id. A null id
     comes back with a null component and is kept. Rows that repeat an id and text are one document;
     an id with two texts is compared by both. An empty table gives no rows. Other columns are
@@ -218,8 +225,9 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     open_ = named.join(split.select("key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks")), "key")
     unsettled = shingle_sets.join(open_.select("id").distinct(), "id", "left_semi")
     second = unsettled.mapInArrow(_second(how.size * how.fine), "id long, bytes binary").join(reps.select("id", "keys"), "id")
+    seconds = written(second, "second")
     cells = (
-        open_.join(written(second, "second"), "id")
+        open_.join(seconds, "id")
         .withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "bytes", "keys")
@@ -227,14 +235,22 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
         .sortWithinPartitions("key", "i", "j")
     )
     mates = cells.mapInArrow(_mates(how), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    late = written(verified(written(mates, "mates"), shingle_sets, how.percent), "links")
+    found = written(mates, "mates")
+    late = written(verified(found, shingle_sets, how.percent), "links")
     if not late.isEmpty():
         labels = components(links.unionByName(late))
 
-    found = classes.join(labels, classes.rep == labels.id, "left").select(F.col("digest").alias("its"), F.coalesce("label", "rep").alias("component"))
-    return sketched.join(found, sketched.digest == found.its, "left").select(
+    drop(members, stars, shingle_sets, links, seconds, found, late)
+    part = F.pmod(F.xxhash64("id"), F.lit(how.parts)).alias("part")
+    found = classes.join(labels, classes.rep == labels.id, "left").select("digest", F.coalesce("label", "rep").alias("component"))
+    slots = whole.select("digest", part).distinct().join(found, "digest")
+    slots = slots.select(F.col("digest").alias("its"), F.col("part").alias("its_part"), "component")
+    linked = whole.select("id", "n", "digest", part)
+    linked = linked.join(slots, (F.col("digest") == F.col("its")) & (F.col("part") == F.col("its_part")), "left").select("id", "n", "component")
+    alone = sketched.where("n = 0 or id is null").select("id", "n", F.lit(None).cast("long").alias("component"))
+    return linked.unionByName(alone).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id")).alias("component_id"),
+        F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
     )

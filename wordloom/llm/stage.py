@@ -7,22 +7,13 @@ is used, which is right only for local masters.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI or path."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="wordloom-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+from ..shared import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -30,18 +21,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wordloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to a Python worker while a table is written.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun here send rows to Python in batches of about BATCH_BYTES at most: a batch is held
+    several times over by both sides, so the default of 64 MB takes most of a small executor."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of the shared folder; its lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Removes a table that ``written`` made and nobody reads any more."""
-    spark = df.sparkSession
-    jvm, files = spark.sparkContext._jvm, df.inputFiles()
-    if files:
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made and nobody reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, files = spark.sparkContext._jvm, df.inputFiles()
+        if files:
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
