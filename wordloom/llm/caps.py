@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,64 +15,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .stage import written
+from .stage import drop, written
+
+#: Vectors of fewer dimensions are padded with zeros to as many; inner products stay.
+LEAST_DIM = 16
 
 
 @dataclass(frozen=True)
 class Caps:
-    """Filter directions are, in each of ``codes`` random rotations, all pairs of ``words`` codewords per half.
-
-    One rotation may split a vector's length badly between the halves, so several share the work: at
-    64 dimensions these parameters left none of 4,000 random pairs at a cosine of 0.93 unfound.
+    """Filter directions are, in each of ``codes`` random rotations, all pairs of codewords of the two halves.
 
-    A vector joins every direction with an inner product of at least ``height`` standard deviations
-    of a random one, as far as these are among ``reach`` ranked pairs, and its ``least`` best ones in
-    each rotation in any case, so that no vector stays without. Below ``least_dim`` dimensions caps are no sieve and one filter takes all.
-    Members of a filter are compared ``block`` against ``block``.
+    A vector joins every direction whose inner product with it is at least a height, and no other.
+    Height and number of codewords follow from the dimensions, the vectors of the largest label and
+    the links looked for, by exact probabilities on the sphere (``shape``): a pair at ``cosine``
+    shares ``shared`` filters on average, and a vector meets about ``mates`` unrelated ones in all
+    its filters, as far as no more than ``most`` codewords a half are needed; beyond that filters
+    grow, nothing is dropped. Members of a filter are compared ``block`` against ``block``.
     """
 
     cosine: float = 0.93
-    codes: int = 4
-    words: int = 640
-    height: float = 4.2
-    least: int = 16
-    reach: int = 64
-    least_dim: int = 24
+    codes: int = 12
+    shared: float = 24.0
+    mates: float = 8.0
+    most: int = 2048
     block: int = 512
     seed: int = 11
 
 
-def _codes(dim: int, how: Caps) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-    made = []
-    for k in range(how.codes):
-        rng = np.random.default_rng([how.seed, dim, k])
-        turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        halves = [rng.standard_normal((how.words, n)) for n in (dim // 2, dim - dim // 2)]
-        made.append((turn, [h / np.linalg.norm(h, axis=1, keepdims=True) for h in halves]))
-    return made
-
-
-def filters(unit: np.ndarray, how: Caps, codes: list[tuple[np.ndarray, list[np.ndarray]]] | None = None) -> list[np.ndarray]:
-    """For each row, the numbers of all filter directions it exceeds.
-
-    List decoding: only codewords among the ``reach`` best of either half are paired. Pairs of ranks
-    (i, j) with i * j > reach have at least that many pairs before them, so ``least`` <= reach pairs
-    are always the true best ones."""
-    dim = unit.shape[1]
-    if dim < how.least_dim:
-        return [np.zeros(1, np.int64)] * len(unit)
-    need = how.height / np.sqrt(dim) * np.sqrt(2)
-    i, j = np.nonzero(np.outer(np.arange(1, how.words + 1), np.arange(1, how.words + 1)) <= how.reach)
-    found: list[list[np.ndarray]] = [[] for _ in unit]
-    for k, (turn, (one, two)) in enumerate(codes or _codes(dim, how)):
-        spun = unit @ turn
-        first, second = spun[:, : dim // 2] @ one.T, spun[:, dim // 2 :] @ two.T
-        p, q = np.argsort(-first, axis=1, kind="stable"), np.argsort(-second, axis=1, kind="stable")
-        score = np.take_along_axis(first, p, 1)[:, i] + np.take_along_axis(second, q, 1)[:, j]
-        floor = np.minimum(need, -np.partition(-score, how.least - 1, axis=1)[:, how.least - 1])
-        for row, ok in enumerate(score >= floor[:, None]):
-            found[row].append((k * how.words + p[row, i[ok]]) * how.words + q[row, j[ok]])
-    return [np.concatenate(own) for own in found]
+def both_exceed(height: float, dim: int, angle: float) -> float:
+    """Chance that two unit vectors at ``angle`` both exceed a random direction by ``height``."""
+    turn = (np.arange(4000) + 0.5) * (2 * np.pi / 4000)
+    low = np.minimum(np.cos(turn), np.cos(turn - angle))
+    hit = low > height
+    # the squared length of a direction's part in the plane of both is Beta(1, dim / 2 - 1)
+    return float(((1 - (height / low[hit]) ** 2) ** (dim / 2 - 1)).sum() / len(turn))
+
+
+def shape(dim: int, vectors: int, how: Caps) -> tuple[float, int]:
+    """Height of the caps and codewords of a half, for at most ``vectors`` of one label."""
+    angle, best = math.acos(how.cosine), (0.0, 1)
+    for step in range(20, 120):
+        height = step / 20 / math.sqrt(dim)
+        pair = both_exceed(height, dim, angle) if height < 1 else 0.0
+        words = math.ceil(math.sqrt(how.shared / how.codes / pair)) if pair else how.most + 1
+        if words > how.most:
+            break
+        best = height, words
+        if how.codes * words**2 * both_exceed(height, dim, 0.0) * vectors <= how.mates:
+            break
+    return best
+
+
+class Code:
+    """Directions of one dimension, and the list decoding of vectors to those they exceed."""
+
+    def __init__(self, dim: int, vectors: int, how: Caps) -> None:
+        self.pad = max(0, LEAST_DIM - dim) or dim % 2
+        width = dim + self.pad
+        self.height, self.words = shape(width, vectors, how)
+        self.halves = []
+        for k in range(how.codes):
+            rng = np.random.default_rng([how.seed, width, k])
+            turn = np.linalg.qr(rng.standard_normal((width, width)))[0]
+            words = rng.standard_normal((2, self.words, width // 2))
+            words /= np.linalg.norm(words, axis=2, keepdims=True)
+            self.halves.append((turn, words[0].T, words[1].T))
+
+    def filters(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, direction) of every direction that each row exceeds, by row, then direction.
+
+        A codeword can only take part if it and the best one of the other half reach the height
+        together; all pairs of those that can are tried."""
+        unit = np.pad(unit, ((0, 0), (0, self.pad)))
+        need, mid = self.height * math.sqrt(2), unit.shape[1] // 2
+        rows, found = [], []
+        for k, (turn, one, two) in enumerate(self.halves):
+            spun = unit @ turn
+            first, second = spun[:, :mid] @ one, spun[:, mid:] @ two
+            row, i = np.nonzero(first >= need - second.max(axis=1, keepdims=True))
+            other, j = np.nonzero(second >= need - first.max(axis=1, keepdims=True))
+            per = np.bincount(other, minlength=len(unit))
+            begin, times = (np.cumsum(per) - per)[row], per[row]
+            left = np.repeat(np.arange(len(row)), times)
+            right = np.arange(len(left)) + np.repeat(begin - np.cumsum(times) + times, times)
+            ok = first[row, i][left] + second[other, j][right] >= need
+            left, right = left[ok], right[ok]
+            rows.append(row[left])
+            found.append((k * self.words + i[left]) * self.words + j[right])
+        row, direction = np.concatenate(rows), np.concatenate(found)
+        order = np.lexsort((direction, row))
+        return row[order], direction[order].astype(np.int32)
+
+
+@lru_cache(maxsize=8)
+def _code(dim: int, vectors: int, how: Caps) -> Code:
+    return Code(dim, vectors, how)
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,20 +117,25 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            digests, data, dims = [], [], []
-            for label, vector in zip(part.column(1).to_pylist(), part.column(2), strict=True):
-                v = None
-                if label is not None and vector.is_valid and len(vector.values) and not vector.values.null_count:
-                    v = np.asarray(vector.values.to_numpy(zero_copy_only=False), dtype="<f8")
-                    if not np.isfinite(v).all() or not v.any():
-                        v = None
+            marks, labelled = part.column(1).fill_null(0).to_pylist(), part.column(1).is_valid().to_numpy(zero_copy_only=False)
+            sizes = part.column(2).value_lengths().fill_null(0).to_numpy()
+            begins, flat = np.cumsum(sizes) - sizes, part.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            digests: list[bytes | None] = [None] * part.num_rows
+            data, dims = list(digests), np.zeros(part.num_rows, np.int32)
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero((sizes == dim) & labelled)
+                v = flat[begins[rows][:, None] + np.arange(dim)]
+                ok = np.isfinite(v).all(axis=1) & v.any(axis=1)  # a null component is NaN here
+                rows, v = rows[ok], v[ok]
+                with np.errstate(over="ignore"):
+                    single = v.astype("<f4")
+                dims[rows] = dim
                 # single precision where that loses nothing
-                raw = None if v is None else (v.astype("<f4") if (v.astype("<f4") == v).all() else v).tobytes()
-                data.append(raw)
-                dims.append(0 if v is None else len(v))
-                digests.append(None if v is None else hashlib.blake2b(struct.pack("<qq", label, len(v)) + v.tobytes(), digest_size=16).digest())
+                for k, x, y, short in zip(rows.tolist(), v, single, (single == v).all(axis=1).tolist(), strict=True):
+                    data[k] = (y if short else x).tobytes()
+                    digests[k] = hashlib.blake2b(struct.pack("<qq", marks[k], dim) + x.tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(3), pa.array(digests, pa.binary()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())],
+                [part.column(0), part.column(3), pa.array(digests, pa.binary()), pa.array(dims), pa.array(data, pa.binary())],
                 names=["id", "label", "digest", "dim", "vector"],
             )
 
@@ -102,72 +146,125 @@ def _vectors(raw: list[bytes], dim: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _filtered(how: Caps):
+def _filtered(how: Caps, vectors: int):
+    """Adds the directions that each vector exceeds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, tuple] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                dims, raw = np.array(part.column("dim").to_pylist()), part.column("vector").to_pylist()
-                own: list[np.ndarray] = [np.zeros(0, np.int64)] * len(raw)
-                for dim in set(dims.tolist()):
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                dims, raw = part.column("dim").to_numpy(), part.column("vector").to_pylist()
+                own: list[np.ndarray] = [np.zeros(0, np.int32)] * len(raw)
+                for dim in np.unique(dims).tolist():
                     rows = np.flatnonzero(dims == dim)
-                    if dim >= how.least_dim and dim not in codes:
-                        codes[dim] = _codes(dim, how)
-                    for k, f in zip(rows, filters(_vectors([raw[r] for r in rows], dim), how, codes.get(dim)), strict=True):
-                        own[k] = f
-                yield pa.RecordBatch.from_arrays([*part.select(["id", "label", "dim"]).columns, pa.array(own, pa.list_(pa.int64()))], names=["id", "label", "dim", "filters"])
+                    row, direction = _code(dim, vectors, how).filters(_vectors([raw[r] for r in rows], dim))
+                    ends = np.cumsum(np.bincount(row, minlength=len(rows)))[:-1]
+                    for r, found in zip(rows, np.split(direction, ends), strict=True):
+                        own[r] = found
+                columns = [*part.columns, pa.array(own, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "filters"])
 
     return run
 
 
+def _earlier(lists: list[np.ndarray], before: int) -> np.ndarray | None:
+    """Which members share a filter that comes before this one; None where all do, by one filter."""
+    held = [x[: np.searchsorted(x, before)] for x in lists]
+    flat = np.concatenate(held)
+    names, place = np.unique(flat, return_inverse=True)
+    times = np.bincount(place, minlength=len(names))
+    if len(names) and times.max() == len(held):
+        return None
+    row = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    more = times[place] > 1
+    slot = np.cumsum(times > 1) - 1
+    has = np.zeros((len(held), int((times > 1).sum())), np.float32)
+    has[row[more], slot[place[more]]] = 1
+    return has @ has.T > 0
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Links that join what the pairs (a, b) of n members join, fewer than n."""
+    label, out = list(range(n)), []
+
+    def find(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for p, q in zip(a.tolist(), b.tolist(), strict=True):
+        p_, q_ = find(p), find(q)
+        if p_ != q_:
+            label[max(p_, q_)] = min(p_, q_)
+            out.append((p, q))
+    return out
+
+
 def _linked(how: Caps):
-    def cell(ids: np.ndarray, v: np.ndarray, block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        if i == j:
-            a, b = np.nonzero(np.triu(v @ v.T >= how.cosine, 1))
-            a, b = ids[a], ids[b]
-        else:
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            a, b = np.nonzero(v[left] @ v[right].T >= how.cosine)
-            a, b = ids[left[a]], ids[right[b]]
-        return np.minimum(a, b), np.maximum(a, b)
+    """Rows (a, n, b) of cells: n vectors, copies counted, are linked with a; b is linked with a.
+
+    Each linked pair counts in the first filter that both exceed, so in no other cell; a cell gives a row
+    for a member and for a link of a spanning forest, never one for every pair."""
+    keys = ("label", "dim", "filter", "i", "j")
+
+    def cell(rows: pa.RecordBatch, out: list[tuple[int, int, int | None]]) -> None:
+        dim, filter_, i, j = (rows.column(c)[0].as_py() for c in keys[1:])
+        block = rows.column("block").to_numpy()
+        if rows.num_rows < 2 or (i != j and (not (block == i).any() or not (block == j).any())):
+            return
+        unit = _vectors(rows.column("vector").to_pylist(), dim)
+        near = np.triu(unit @ unit.T >= how.cosine, 1)
+        if i != j:
+            near &= block[:, None] != block[None, :]
+        if not near.any():
+            return
+        # filters by member, without a copy of each
+        lists = rows.column("filters")
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]
+        before = _earlier(np.split(flat, ends), filter_)
+        if before is None:
+            return
+        a, b = np.nonzero(near & ~before)
+        if not len(a):
+            return
+        ids, size = rows.column("id").to_numpy(), rows.column("size").to_numpy()
+        n = np.bincount(a, weights=size[b], minlength=len(ids)) + np.bincount(b, weights=size[a], minlength=len(ids))
+        out += [(int(ids[k]), int(n[k]), None) for k in np.flatnonzero(n)]
+        out += [(int(ids[p]), 0, int(ids[q])) for p, q in _forest(a, b, len(ids))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ("label", "dim", "filter", "i", "j")
-        held: pa.Table | None = None  # the cell that may go on in the next batch
-
-        def cells(table: pa.Table, last: bool) -> pa.RecordBatch:
-            """Compares all cells but an unfinished last one, which is held."""
-            nonlocal held
-            table = table.combine_chunks()
-            marks = [table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() if c == "label" else table.column(c).to_numpy() for c in keys]
-            new = np.zeros(table.num_rows, dtype=bool)
-            for m in marks:
-                new[1:] |= m[1:] != m[:-1]
-            edges = [0, *np.flatnonzero(new).tolist(), table.num_rows]
-            if not last:
-                held = table.slice(edges[-2])
-                edges = edges[:-1]
-            dims, ids, block = marks[1], table.column("id").to_numpy(), table.column("block").to_numpy()
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            raw = table.column("vector").to_pylist() if len(edges) > 1 else []
-            units: dict[bytes, np.ndarray] = {}
-            for dim in set(dims[: edges[-1]].tolist()):
-                some = list({x for x, d in zip(raw, dims, strict=False) if d == dim})
-                units |= dict(zip(some, _vectors(some, dim), strict=True))
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                v = np.stack([units[x] for x in raw[s:e]])
-                found.append(cell(ids[s:e], v, block[s:e], int(marks[3][s]), int(marks[4][s])))
-            both = np.concatenate([np.stack(f) for f in found], axis=1) if found else np.zeros((2, 0), np.int64)
-            both = np.unique(both, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+        held: list[pa.RecordBatch] = []  # of the cell that may go on in the next batch
+        out: list[tuple[int, int, int | None]] = []
+
+        def same(x: pa.RecordBatch, y: pa.RecordBatch) -> bool:
+            return all(x.column(c)[-1].as_py() == y.column(c)[0].as_py() for c in keys)
+
+        def done() -> pa.RecordBatch:
+            table = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "n", "b"])
+            out.clear()
+            return table
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = pa.Table.from_batches([batch.slice(at, 4096)])
-                yield cells(part if held is None else pa.concat_tables([held, part]), False)
-        if held is not None:
-            yield cells(held, True)
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for c in keys:
+                column = batch.column(c)
+                marks = column.dictionary_encode().indices.to_numpy() if c == "label" else column.to_numpy()
+                new[1:] |= marks[1:] != marks[:-1]
+            edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(s, e - s)
+                if held and not same(held[-1], part):
+                    cell(pa.concat_batches(held), out)
+                    held = []
+                if part.num_rows:
+                    held.append(part)
+            if len(out) > 20_000:
+                yield done()
+        if held:
+            cell(pa.concat_batches(held), out)
+        if out:
+            yield done()
 
     return run
 
@@ -176,10 +273,13 @@ def cap_duplicates(vectors: DataFrame, how: Caps = Caps(), id_col: str = "vec_id
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Equal vectors of a label are one class and meet as one; a filter's members are dealt into blocks,
-    so no filter meets in one task. Rows without a label or with a null, empty, zero or non-finite
-    vector link with nothing; so do rows without an id, which are kept with a null component. Vectors
-    of other lengths are not compared. Repeated rows count as vectors of their own. An empty table
-    gives no rows; other columns are ignored.
+    so no filter meets in one task. Links are counted where they are found and only spanning
+    forests of them travel, so rows grow with the members of filters, not with their pairs.
+
+    Rows without a label or with a null, empty, zero or non-finite vector link with nothing; so do
+    rows without an id, which are kept with a null component. Vectors of other lengths are not
+    compared. Repeated rows count as vectors of their own. An empty table gives no rows; other
+    columns are ignored, whatever their names. A vector of any length is one row.
     """
     own = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(label_col).alias("mark"), F.col(vector_col).alias("vector"), F.col(label_col).cast("string").alias("label")
@@ -188,9 +288,12 @@ def cap_duplicates(vectors: DataFrame, how: Caps = Caps(), id_col: str = "vec_id
     whole = rows.where("digest is not null and id is not null")
     classes = whole.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     mine = classes.withColumnRenamed("digest", "its")
-    reps = whole.join(mine, (whole.id == mine.rep) & (whole.digest == mine.its)).select("id", "label", "dim", "vector").distinct()
-    member = reps.mapInArrow(_filtered(how), "id long, label string, dim int, filters array<long>")
-    member = written(member, "filters").select("id", "label", "dim", F.explode("filters").alias("filter"))
+    reps = whole.join(mine, (whole.id == mine.rep) & (whole.digest == mine.its)).dropDuplicates(["id", "digest"]).select("id", "label", "dim", "vector", "size")
+    most = whole.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    most = 1 << (most - 1).bit_length()  # a little more input leaves directions as they are
+    schema = "id long, label string, dim int, vector binary, size long, filters array<int>"
+    reps = written(reps.mapInArrow(_filtered(how, most), schema), "filters")
+    member = reps.select("label", "dim", "id", F.explode("filters").alias("filter"))
     key = ["label", "dim", "filter"]
     shared = member.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     shared = shared.select(*key, F.ceil(F.col("n") / how.block).cast("int").alias("blocks"))
@@ -198,15 +301,15 @@ def cap_duplicates(vectors: DataFrame, how: Caps = Caps(), id_col: str = "vec_id
         member.join(shared, key)
         .withColumn("block", F.pmod(F.xxhash64("id", "filter"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
-        .join(reps.select("id", "vector"), "id")
+        .select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
+        .join(reps, "id")
         .repartition(*key, "i", "j")
         .sortWithinPartitions(*key, "i", "j")
     )
-    links = written(cells.mapInArrow(_linked(how), "a long, b long").distinct(), "links")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(classes.select(F.col("rep").alias("b"), "size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("beyond"))
-    labels = components(links).select(F.col("id").alias("rep"), F.col("label").alias("component"))
+    found = written(cells.mapInArrow(_linked(how), "a long, n long, b long"), "links")
+    drop(reps)
+    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("beyond"))
+    labels = components(found.where("b is not null").select("a", "b")).select(F.col("id").alias("rep"), F.col("label").alias("component"))
     known = classes.join(counts, "rep", "left").join(labels, "rep", "left").select(
         F.col("digest").alias("its"), (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")
     )
