@@ -47,9 +47,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judged(_table(spark, sf_dir, "documents"))
+    judged = quality.judged(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.selectExpr("doc_id", *(f"_m.{m} AS {m}" for m in measures), "_failed AS base_failed", "_kept AS kept")
+    return judged.selectExpr("row.doc_id AS doc_id", *(f"m.{m} AS {m}" for m in measures), "failed AS base_failed", "kept", "bad_host")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +152,12 @@ f AS (SELECT *, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repea
 hosts AS (SELECT host, sum(CAST(base_failed AS BIGINT)) AS bad, count(*) AS n FROM f GROUP BY host),
 prior AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) AS var FROM hosts),
 shares AS (
-  SELECT host, (bad + mean * weight) / (n + weight) AS share
-  FROM hosts, (SELECT mean, CASE WHEN var > 0 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 ELSE 1 END AS weight FROM prior)
+  SELECT host, var > 0 AND (bad + mean * weight) / (n + weight) > mean + {_R.bad_deviations} * sqrt(var) AS bad_host
+  FROM hosts, (SELECT mean, var, CASE WHEN var > 0 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 ELSE 1 END AS weight FROM prior)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (share >= {_R.bad_share} AND (100 * n_symbols > {_R.max_symbol_percent} * word_chars OR 100 * n_dup_lines > {_R.max_dup_line_percent} * n_lines)) AS kept
+  bad_host, NOT base_failed AND NOT (bad_host AND (100 * n_symbols > {_R.max_symbol_percent} * word_chars OR 100 * n_dup_lines > {_R.max_dup_line_percent} * n_lines)) AS kept
 FROM f JOIN shares USING (host)
 """
 
