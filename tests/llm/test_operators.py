@@ -1,5 +1,6 @@
 """Operators over small tables: brute force, ties, nulls, empty tables, repeated rows, clashing names."""
 
+import hashlib
 import random
 import textwrap
 
@@ -7,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wordloom.llm import bpe, caps, chat, licenses, minhash, packing, pages, pii, quality, queries, warc
@@ -64,16 +66,64 @@ def test_near_duplicates_edges(spark):
     assert found == [(0, 0, True), (4, 4, True), (4, 4, True), (9, 4, False)]
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """20 one-word shingles in union: 17 shared are 85 percent, 16 are not; and texts of 200,000 words."""
+    shared = [f"s{k}" for k in range(17)]
+    rows = [(1, " ".join([*shared, "a", "b"])), (2, " ".join([*shared, "c"])), (3, " ".join([*shared[:16], "d", "e", "f", "g"]))]
+    words = [f"x{k}" for k in range(200_000)]
+    rows += [(4, " ".join(words)), (5, " ".join(words[5_000:])), (6, " ".join(words[:120_000]))]
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, digest int, key int")
+    for slack in (4.5, None):
+        how = minhash.NearDuplicates(1, 85, slack=slack)
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, how).collect()}
+        assert found == {1: (19, 1), 2: (18, 1), 3: (20, 3), 4: (200_000, 4), 5: (195_000, 4), 6: (120_000, 6)}
+
+
+def test_near_duplicates_find_every_pair_at_the_threshold(spark):
+    """400 unrelated pairs of 5-word sets at a similarity of 0.80 to 0.82."""
+    r = random.Random(8)
+    rows, n = [], 120
+    for pair in range(400):
+        base = [f"{pair}.{k}" for k in range(n + 4)]
+        cut = r.randrange(10, 13)  # sets of n shingles, the last cut of them others: (n - cut) / (n + cut)
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join([*base[: n + 4 - cut], *(f"y{pair}.{k}" for k in range(cut))]))]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: k - k % 2 for k in range(800)}
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    """Copies, near copies and near copies that are no links, of one text, and many without words."""
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(base)) for k in range(600)] + [(600 + k, " ".join([*base[:96], f"z{k}"])) for k in range(300)]
+    rows += [(900 + k, " ".join([*base[:80], *(f"q{k}.{j}" for j in range(20))])) for k in range(200)] + [(1100 + k, " ") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, minhash.NearDuplicates(block=64)).collect()}
+    assert found == {k: 0 if k < 900 else k for k in range(1150)}
+
+
 def test_chat_reads_back(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "a[/INST]\\"), (1, 2, "user", None), (1, 3, "assistant", "</s>"), (2, 0, None, "x"), (None, 5, "assistant", "q"), (3, 1, "assistant", "b"), (3, 1, "assistant", "b")]
-    rendered = chat.formatted(spark.createDataFrame([(*t, 0) for t in turns], "conv_id long, turn long, role string, text string, segment int")).persist()
-    found = {r["conv_id"]: r for r in chat.read_back(rendered).collect()}
-    assert {k: (r["n_turns"], r["loss_chars"], r["n_examples"]) for k, r in found.items()} == {1: (4, 13, 2), 2: (1, 0, 0), None: (1, 1, 1), 3: (2, 2, 2)}
-    whole = {(r["conv_id"], r["example"]): r for r in chat.expanded(rendered).collect()}
+    turns += [(4, 0, "a|>\nb", "hello"), (4, 1, "<|end|>\n", "<|turn user|>\n"), (4, 2, "assistant", "x" * 3_000_000), (5, 0, "\n", "")]
+    turns += [(6, k, "assistant" if k % 2 else "user", f"t{k} ") for k in range(5000)]
+    rendered = chat.formatted(spark.createDataFrame([(*t, 0, 0) for t in turns], "conv_id long, turn long, role string, text string, segment int, example int")).persist()
+    examples = chat.examples(rendered)
+    found = {r["conv_id"]: r for r in chat.read_back(rendered, examples).collect()}
+    counts = {1: (4, 13, 2), 2: (1, 0, 0), None: (1, 1, 1), 3: (2, 2, 2), 4: (3, 3_000_000, 1), 5: (1, 0, 0), 6: (5000, sum(len(f"t{k} ") for k in range(1, 5000, 2)), 2500)}
+    assert {k: (r["n_turns"], r["loss_chars"], r["n_examples"]) for k, r in found.items()} == counts
+    for conv in counts:
+        mine = [(role or "", text or "") for c, _, role, text in turns if c == conv]
+        assert found[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
+        assert found[conv]["loss_sha256"] == hashlib.sha256("".join(t for r, t in mine if r == "assistant").encode()).hexdigest()
+    few = rendered.where("conv_id < 4 or conv_id is null")
+    whole = {(r["conv_id"], r["example"]): r for r in chat.expanded(few, chat.examples(few)).collect()}
     assert len(whole) == 5
     last = whole[1, 1]
     assert chat.unescape(last["text"][last["loss_start"] : last["loss_end"]]) == "</s>" and last["text"].startswith("<|turn user|>\nhi<|end|>\n")
-    assert chat.read_back(chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    shifted = examples.withColumn("context_end", F.col("context_end") + 1)
+    with pytest.raises(Exception, match="does not fit its rendering"):
+        chat.read_back(rendered, shifted).collect()
+    none = chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(none, chat.examples(none)).count() == 0
 
 
 def test_pii_and_masks(spark):
@@ -135,6 +185,27 @@ def test_caps_equal_brute_force(spark, dim):
     assert all(found[k]["n_links"] == 0 and found[k]["kept"] for k in range(len(v), len(rows)))
 
 
+def test_caps_edges(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    assert caps.cap_duplicates(spark.createDataFrame([], schema)).count() == 0
+    none = [(1, None, 1), (2, [1.0, 0.0], None)]
+    assert sorted(tuple(r) for r in caps.cap_duplicates(spark.createDataFrame(none, schema)).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
+    rows = [(7, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (9, [2.0, 0.01], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1e300, 0.0], 2), (5, [3e38] * 300, 2)]
+    more = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, label int, filter string, mark string")
+    found = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in caps.cap_duplicates(more).collect())
+    assert found == [("3", 1, "3", True), ("4", 1, "3", False), ("5", 0, "5", True), ("7", 2, "7", True), ("7", 2, "7", True), ("9", 2, "7", False), ("None", 0, "None", True)]
+
+
+def test_caps_of_one_large_group(spark):
+    """Chains and clumps over several blocks of a filter: links are counted once each."""
+    turn = np.arange(700) * 0.002
+    chain = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(chain)]
+    found = {r["vec_id"]: r for r in caps.cap_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), caps.Caps(block=64)).collect()}
+    near = chain @ chain.T >= 0.93
+    assert {k: (r["n_links"], r["component_id"]) for k, r in found.items()} == {k: (int(near[k].sum()) - 1, 0) for k in range(700)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     made = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u\r\nv%0A", None), (4, "http://d", ""), (5, "e", "é\r\n\r\nWARC/1.1\r\n"), (None, "f", "<p>x</p>"), (2, "again", "<p>x</p>")]
     table = spark.createDataFrame([(*m, 7) for m in made], "page_id long, url string, html string, payload int")
@@ -154,11 +225,33 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_quality_edges(spark):
     clean = " ".join(f"w{k}" for k in range(40))
-    rows = [(1, clean, "a"), (2, None, None), (None, "", "a"), (3, "x " * 50, "b"), (3, "a b c d e a b c d e", "b"), (4, "l m\nl m\n\n" + clean, "c")]
-    found = quality.judged(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, share int")).select("doc_id", "_m.*", "_kept").collect()
-    by = sorted((r["n_words"], r["n_repeat_words"], r["n_dup_lines"], r["_kept"]) for r in found)
-    assert by == [(0, 0, 0, False), (0, 0, 0, False), (10, 10, 0, False), (40, 0, 0, True), (44, 0, 1, True), (50, 50, 0, False)]
-    assert quality.judged(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, clean, "a"), (2, None, None), (None, "", "a"), (3, "x " * 50, "b"), (3, "a b c d e a b c d e", "b"), (4, "l m\nl m\n\n" + clean, "c"), (4, "l m\nl m\n\n" + clean, "c"), (5, long, "c")]
+    names = "row int, m int, host int, _host int, _h int, _words int, _m int, share int, kept int, words int, `a.b` int"
+    docs = spark.createDataFrame([(*r, *range(11)) for r in rows], "doc_id long, text string, source string, " + names)
+    judged = quality.judged(docs)
+    found = judged.select("row.doc_id", "m.*", "kept").collect()
+    by = sorted((r["n_words"], r["n_repeat_words"], r["n_dup_lines"], r["kept"]) for r in found)
+    assert by == [(0, 0, 0, False), (0, 0, 0, False), (10, 10, 0, False), (40, 0, 0, True), (44, 0, 1, True), (44, 0, 1, True), (50, 50, 0, False), (300_000, 0, 0, True)]
+    assert judged.select("row.*").columns == docs.columns and sorted(map(str, judged.select("row.*").collect())) == sorted(map(str, docs.collect()))
+    empty = quality.judged(spark.createDataFrame([], "doc_id long, text string, source string"))
+    assert empty.count() == 0 and corpus_pipeline.good_quality(spark, docs.limit(0), DIR).columns == docs.columns
+
+
+@pytest.mark.parametrize("limit", [quality.BROADCAST_BYTES, 0])
+def test_quality_of_bad_hosts(spark, monkeypatch, limit):
+    """Soft failures are rejected on the one host that fails far more often than its prior says, not elsewhere."""
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", limit)
+    clean = " ".join(f"w{k}" for k in range(40))
+    soft = clean + " " + "#" * 60
+    rows = [(f"h{k}", clean) for k in range(12) for _ in range(9)] + [(f"h{k}", soft) for k in range(12)] + [(f"h{k}", "too few") for k in range(12)]
+    rows += [("bad", "too few")] * 30 + [("bad", clean), ("bad", soft), ("tie", "too few"), ("tie", soft)]
+    docs = spark.createDataFrame([(k, t, h) for k, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    found = quality.judged(docs).select("row.*", "failed", "bad_host", "kept").collect()
+    assert {r["source"] for r in found if r["bad_host"]} == {"bad"}
+    assert {(r["source"] == "bad", r["text"] == soft, r["kept"]) for r in found if not r["failed"]} == {(True, True, False), (True, False, True), (False, True, True), (False, False, True)}
+    same = spark.createDataFrame([(k, soft, f"h{k % 3}") for k in range(9)], "doc_id long, text string, source string")
+    assert not quality.judged(same).where("bad_host").count()
 
 
 def check_packed(rows, texts):

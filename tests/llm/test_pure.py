@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 
-from wordloom.llm import blocks, bpe, chat, packing, pii, sketch, training, wordsets
+from wordloom.llm import blocks, bpe, caps, chat, packing, pii, sketch, training, wordsets
 
 
 def plain_shingles(text, k):
@@ -158,7 +158,6 @@ def test_chat_escapes_are_reversible():
     bits = ["\\", "<|", "|>", "<", "|", ">", "</s>", "[INST]", "[/INST]", "<|end|>", "\n", "a", "<<SYS>>"]
     for _ in range(2000):
         text, role = ("".join(r.choice(bits) for _ in range(r.randrange(9))) for _ in range(2))
-        role = role.replace("\n", "")
         segment, a, b = chat.render(role, text)
         assert chat.parse(segment) == (role, text)
         assert chat.unescape(segment[a:b]) == text
@@ -174,6 +173,49 @@ def test_blocks_and_labels():
     assert blocks.blocks("<" * 20_000) and blocks.blocks('<a "' * 5_000) is not None
 
 
+def test_words_do_not_collide_by_structure():
+    """Thue-Morse words and their complements are equal for any polynomial modulo a power of two."""
+    words, w = [], "a"
+    for _ in range(12):
+        w += w.translate(str.maketrans("ab", "ba"))
+        words += [w, w.translate(str.maketrans("ab", "ba"))]
+    words += ["x" * n for n in range(1, 600)] + ["\0" * n for n in range(1, 300)]
+    found = [x for s in wordsets.sets(pa.array(words), 1) for x in s.tolist()]
+    assert len(found) == len(set(words)) == len(set(found))
+
+
+def test_cap_directions_are_all_that_exceed():
+    """List decoding against every direction, and recall at the threshold in several dimensions."""
+    rng = np.random.default_rng(9)
+    how = caps.Caps(codes=2, most=40)
+    for dim in (1, 5, 17, 64):
+        unit = rng.standard_normal((40, dim))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        code = caps.Code(dim, 10_000, how)
+        row, direction = code.filters(unit)
+        expected = []
+        for k, (turn, one, two) in enumerate(code.halves):
+            spun = np.pad(unit, ((0, 0), (0, code.pad))) @ turn
+            mid = spun.shape[1] // 2
+            score = (spun[:, :mid] @ one)[:, :, None] + (spun[:, mid:] @ two)[:, None, :]
+            r, i, j = np.nonzero(score >= code.height * 2**0.5)
+            expected += zip(r.tolist(), ((k * code.words + i) * code.words + j).tolist())
+        assert sorted(expected) == list(zip(row.tolist(), direction.tolist())), dim
+
+
+def test_cap_recall_at_the_threshold():
+    rng = np.random.default_rng(10)
+    for dim in (2, 8, 24, 64, 256):
+        x, g = rng.standard_normal((2, 1000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        g -= (g * x).sum(axis=1, keepdims=True) * x
+        y = 0.93 * x + (1 - 0.93**2) ** 0.5 * g / np.linalg.norm(g, axis=1, keepdims=True)
+        for vectors in (1 << 9, 1 << 13):
+            code = caps.Code(dim, vectors, caps.Caps())
+            found = [set(zip(*(c.tolist() for c in code.filters(v)))) for v in (x, y)]
+            assert len({row for row, _ in found[0] & found[1]}) >= 995, (dim, vectors)
+
+
 def test_digest_is_of_the_set():
     a, b = (next(iter(wordsets.sets(pa.array([t]), 3))) for t in ("a b c d", "A  b c\nd"))
     assert wordsets.digest(a) == wordsets.digest(b) and len(hashlib.sha256(wordsets.digest(a)).digest()) == 32

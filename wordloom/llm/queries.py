@@ -27,7 +27,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rendered = written(chat.formatted(turns.unionByName(more)), "chat")
-    return chat.read_back(rendered)
+    return chat.read_back(rendered, written(chat.examples(rendered), "examples"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
