@@ -41,3 +41,8 @@ def tag(word: Column) -> Column:
 def useful(word: Column) -> Column:
     """Nouns, verbs and adjectives."""
     return tag(word).isin(*USEFUL)
+
+
+def useful_words(words: Column) -> Column:
+    """Those of an array of words, in order, each taken on its own."""
+    return F.filter(words, useful)
