@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pos import useful
 from ..functions.scores import npmi, pmi
-from .corpus import distinct_postings, vocab, with_size
+from .corpus import distinct_postings, lowered, vocab, with_size
 from .search import containing
 
 
@@ -29,15 +29,17 @@ class Options:
 
 
 def pair_counts(found: DataFrame, min_df: int = 1) -> DataFrame:
-    """(w1, w2, cooc) with w1 < w2 over words in at least min_df sentences.
+    """(w1, w2, cooc) with w1 < w2, of every word or of those in at least min_df sentences.
 
     Pairs are made within sentences and pre-aggregated; it is quadratic in a sentence's words, which
     is why seed queries use ``with_seed`` instead.
     """
-    words = distinct_postings(found, lower=True)
     if min_df > 1:
+        words = distinct_postings(found, lower=True)
         words = words.join(words.groupBy("word").count().where(F.col("count") >= min_df).select("word"), "word", "left_semi")
-    rows = words.groupBy("sid").agg(F.sort_array(F.collect_list("word")).alias("ws"))
+        rows = words.groupBy("sid").agg(F.sort_array(F.collect_list("word")).alias("ws"))
+    else:
+        rows = found.select(F.sort_array(F.array_distinct(lowered())).alias("ws"))
     left = rows.select("ws", F.posexplode("ws").alias("i", "w1"))
     pairs = left.select("w1", F.explode(F.slice("ws", F.col("i") + 2, F.size("ws"))).alias("w2"))
     return pairs.groupBy("w1", "w2").agg(F.count("*").alias("cooc"))
@@ -50,31 +52,35 @@ def pair_count(found: DataFrame, one: str, two: str) -> DataFrame:
     return both.agg(F.count("*").alias("cooc")).select(F.lit(a).alias("w1"), F.lit(b).alias("w2"), "cooc")
 
 
-def scored_pairs(found: DataFrame, min_df: int = 1) -> DataFrame:
-    """Pairs with df1, df2, pmi and npmi."""
-    words = vocab(found)
+def scored_pairs(found: DataFrame, min_df: int = 1, words: DataFrame | None = None) -> DataFrame:
+    """Pairs with df1, df2, pmi and npmi. ``words``: the lower-case vocabulary of ``found``, if it is kept."""
+    words = vocab(found, lower=True) if words is None else words
     pairs = pair_counts(found, min_df)
     pairs = pairs.join(words.select(F.col("word").alias("w1"), F.col("df").alias("df1")), "w1").join(words.select(F.col("word").alias("w2"), F.col("df").alias("df2")), "w2")
     args = [F.col(c) for c in ("cooc", "df1", "df2", "n_sentences")]
     return with_size(pairs, found).select("w1", "w2", "cooc", "df1", "df2", pmi(*args).alias("pmi"), npmi(*args).alias("npmi"))
 
 
-def with_seed(found: DataFrame, seed: str) -> DataFrame:
-    """(word, cooc, df, seed_df, n_sentences) of the words that share a sentence with the seed."""
+def with_seed(found: DataFrame, seed: str, words: DataFrame | None = None) -> DataFrame:
+    """(word, cooc, df, seed_df, n_sentences) of the words that share a sentence with the seed.
+
+    ``words``: the lower-case vocabulary of ``found``, if it is kept; else only the context's words are counted."""
     inside = containing(found, [seed])
     together = distinct_postings(inside, lower=True).where(F.col("word") != seed).groupBy("word").agg(F.count("*").alias("cooc"))
-    rows = together.join(vocab(found), "word").withColumn("seed_df", inside.agg(F.count("*")).scalar())
+    if words is None:
+        words = distinct_postings(found, lower=True).join(together.select("word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    rows = together.join(words.select("word", "df"), "word").withColumn("seed_df", inside.agg(F.count("*")).scalar())
     return with_size(rows, found)
 
 
-def cluster(found: DataFrame, seed: str, options: Options = Options(), word_scores: DataFrame | None = None) -> DataFrame:
+def cluster(found: DataFrame, seed: str, options: Options = Options(), word_scores: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """(word, score, df, cooc), best first; no rows for an unknown seed.
 
     Filters go in this order: frequency, part of speech, TF-IDF range (both ends included, words
     without a score count as 0), a positive weighted score of at least ``min_pmi``, percent of the
     best score, excluded words, then the top. Scores compare after rounding to nine digits, ties by word.
     """
-    rows = with_seed(found, seed.lower().strip()).where(F.col("df") >= options.min_freq)
+    rows = with_seed(found, seed.lower().strip(), words).where(F.col("df") >= options.min_freq)
     if options.filter_pos:
         rows = rows.where(useful(F.col("word")))
     if options.tfidf_range and word_scores is not None:
@@ -107,6 +113,15 @@ def statistics(rows: DataFrame) -> DataFrame:
     )
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """Adds rank over a short ranked list."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "word")))
+def with_sentences(rows: DataFrame, found: DataFrame, seed: str) -> DataFrame:
+    """A cluster and its seed's sentences as one table: (kind, word, df, score, sid), kind being word or sentence."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    ids = containing(found, [seed]).select(F.lit("sentence").alias("kind"), none("string", "word"), none("long", "df"), none("double", "score"), "sid")
+    return rows.select(F.lit("word").alias("kind"), "word", "df", "score", none("long", "sid")).unionByName(ids)
+
+
+def with_statistics(rows: DataFrame) -> DataFrame:
+    """Each row of a short cluster beside the statistics of them all; no rows for no rows."""
+    one = statistics(rows)
+    both = F.struct(*one.columns)
+    return rows.withColumn("s", one.select(both).scalar()).select("*", "s.*").drop("s")

@@ -1,4 +1,7 @@
-"""The corpus as tables: sentences(sid, ..), postings(sid, word, tf), vocab(word, df, total_freq)."""
+"""The corpus as tables: sentences(sid, ..), postings(sid, word, tf, place), vocab(word, df), terms by sentence.
+
+All are lazy; ``prepared`` keeps them written. A sentence is one row, so what concerns one sentence is
+counted inside its row and not shuffled."""
 
 from __future__ import annotations
 
@@ -44,33 +47,75 @@ def dense_ids(found: DataFrame) -> DataFrame:
 
 
 def from_processed(rows: DataFrame) -> DataFrame:
-    """Sentences whose processed text is given: (sentence_index, processed_text) as it stands, split at spaces."""
+    """Sentences whose processed text is given: (sentence_index, processed_text) as it stands, split at spaces.
+
+    An ``original_text`` in ``rows`` is kept, else the processed text stands for it."""
+    original = "original_text" if "original_text" in rows.columns else "processed_text"
     words = F.array_remove(F.split(F.coalesce("processed_text", F.lit("")), " "), "")
     return rows.select(
         F.col("sentence_index").cast("long").alias("sid"), F.col("sentence_index").cast("long").alias("source_document_index"), F.lit(0).alias("sent_pos"),
-        F.col("processed_text").alias("original_text"), "processed_text", words.alias("tokens"),
+        F.col(original).alias("original_text"), "processed_text", words.alias("tokens"),
     )
 
 
+def lowered(tokens: Column | str = "tokens") -> Column:
+    return F.transform(tokens, lambda w: F.lower(w))
+
+
 def distinct_postings(found: DataFrame, lower: bool = False) -> DataFrame:
     """(sid, word), each once; no shuffle."""
-    words = F.transform("tokens", lambda w: F.lower(w)) if lower else F.col("tokens")
-    return found.select("sid", F.explode(F.array_distinct(words)).alias("word"))
+    return found.select("sid", F.explode(F.array_distinct(lowered() if lower else F.col("tokens"))).alias("word"))
 
 
 def postings(found: DataFrame) -> DataFrame:
-    """(sid, word, tf)."""
-    return found.select("sid", F.explode("tokens").alias("word")).groupBy("sid", "word").agg(F.count("*").alias("tf"))
+    """(sid, word, tf, place): how often a word is in a sentence, and where first; no shuffle."""
+    ordered = F.array_sort(F.transform("tokens", lambda w, k: F.struct(w.alias("word"), k.alias("place"))))
+    rows = found.where(F.size("tokens") > 0).select("sid", F.explode(F.array(ordered)).alias("at"))
+    runs = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda k: F.when(k > 0, F.get("at", k)["word"] != F.get("at", k - 1)["word"]).otherwise(True))
+    rows = rows.select("sid", "at", F.explode(F.array(runs)).alias("runs"))
+    tf = lambda k, n: F.coalesce(F.get("runs", n + 1), F.size("at")) - k
+    made = F.transform("runs", lambda k, n: F.struct(F.get("at", k)["word"].alias("word"), tf(k, n).cast("long").alias("tf"), F.get("at", k)["place"].alias("place")))
+    return rows.select("sid", F.explode(made).alias("e")).select("sid", "e.word", "e.tf", "e.place")
+
+
+def terms(found: DataFrame) -> DataFrame:
+    """(sid, terms): per sentence an array of (word, tf, place, df), df being the sentences of ``found`` that have the word.
+
+    One shuffle by word and one by sentence; once kept, weights and clusters need neither. Sentences
+    without tokens are left out."""
+    rows = postings(found)
+    words = rows.groupBy("word").agg(F.count("*").alias("df"))
+    each = F.struct("word", "tf", "place", "df")
+    return rows.join(words, "word").groupBy("sid").agg(F.collect_list(each).alias("terms"))  # as many as the sentence has words
+
+
+#: Documents whose postings of a word make one list.
+LIST_DOCUMENTS = 1 << 10
 
 
 def posting_lists(found: DataFrame) -> DataFrame:
-    """Inverted index in long form: word, its number of sentences, its first and last sentence."""
+    """Inverted index: (word, block, sids), the sorted sentences of a word within a block of LIST_DOCUMENTS documents.
+
+    Blocks bound the lists; a word's whole list is its blocks in order."""
+    block = F.floor(F.col("sid") / (STRIDE * LIST_DOCUMENTS)).alias("block")
+    rows = distinct_postings(found).select("word", block, "sid")
+    return rows.groupBy("word", "block").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
+
+
+def posting_ranges(found: DataFrame) -> DataFrame:
+    """Per word its number of sentences, its first and its last sentence."""
     return distinct_postings(found).groupBy("word").agg(F.count("*").alias("df"), F.min("sid").alias("first_sid"), F.max("sid").alias("last_sid"))
 
 
-def vocab(found: DataFrame) -> DataFrame:
+def vocab(found: DataFrame, lower: bool = False) -> DataFrame:
     """(word, df): in how many sentences a word is."""
-    return distinct_postings(found).groupBy("word").agg(F.count("*").alias("df"))
+    return distinct_postings(found, lower).groupBy("word").agg(F.count("*").alias("df"))
+
+
+def lower_vocab(words: DataFrame, found: DataFrame) -> DataFrame:
+    """The vocabulary in lower case, from ``words``, that of ``found``, where no word has another case, else counted."""
+    mixed = words.where(F.col("word") != F.lower("word"))
+    return words if mixed.isEmpty() else vocab(found, lower=True)
 
 
 def total_frequencies(found: DataFrame) -> DataFrame:

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .corpus import texts_of
+
 
 def page(ids: DataFrame, offset: int, limit: int) -> DataFrame:
     """(sid) in order, a slice of it."""
     return ids.select("sid").orderBy("sid").offset(offset).limit(limit)
 
 
+def shown(found: DataFrame, ids: DataFrame, words: list[str], offset: int = 0, limit: int = 20) -> DataFrame:
+    """(sid, original_text, highlights, total): a page of the sentences ``ids``, its hits, and how many ids there are."""
+    total = ids.select("sid").distinct().agg(F.count("*")).scalar()
+    rows = highlights(texts_of(found, page(ids.select("sid").distinct(), offset, limit)), words)
+    return rows.withColumn("total", total).orderBy("sid")
+
+
 def offsets(text: Column, word: str) -> Column:
     """All 0-based offsets, overlapping ones too, of a word in the lower-cased text; substrings count."""
     low = F.lower(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,115 +10,204 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.normalize import tokens
+from .functions.pos import useful_words
 from .operators import association as A
 from .operators import corpus as C
 from .operators import exclusive as X
 from .operators import search as S
 from .operators import tfidf as T
 from .operators import views as V
-from .params import FREQUENT, MIN_DF, OTHER, PAGE, PAIR_DF, SCOPE, SEED, SEED2, TFIDF_RANGE, URLS
-from .sources.datasets import capped, with_text
+from .operators.prepared import Prepared, prepare
+from .params import FREQUENT, MIN_DF, NEXT, OTHER, OWN_STOP_WORDS, PAGE, RAW, SCOPE, SEED, SEED2, TFIDF_RANGE, URLS
+from .plans.engine import TextEngine
+from .shared import Files, shared_dir
+from .sources.datasets import capped, customers, get_source, read_csv, with_text
+from .sources.store import SentenceStore, export_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
-_corpora: dict[tuple[str, str], DataFrame] = {}
+_prepared: dict[tuple[str, str], tuple[tuple[str, int, int], Prepared]] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc_index"), "text")
-    # a table of fewer files than cores would be tokenised by as few tasks
+    # a table of fewer splits than cores would be tokenised by as few tasks
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus, kept for the session as a server would."""
+def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
+    """The corpus of a table, built once in a session, as a server would at its start, and again when the table changes."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _corpora:
-        _corpora[key] = C.sentences(documents(spark, sf_dir)).persist()
-    return _corpora[key]
+    mark = Files(spark).status(f"{sf_dir}/documents.parquet")
+    if key in _prepared and _prepared[key][0] != mark:
+        _prepared.pop(key)[1].drop()
+    if key not in _prepared:
+        folder = f"{shared_dir(spark)}/wordloom-corpus-{uuid.uuid4().hex}"
+        _prepared[key] = mark, prepare(C.sentences(documents(spark, sf_dir)), folder)
+    return _prepared[key][1]
 
 
-def _over(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(sentences(spark, sf_dir))
+def release(spark: SparkSession) -> None:
+    """Removes the tables of all corpora that this session has built."""
+    for key in [k for k in _prepared if k[0] == spark.sparkContext.applicationId]:
+        _prepared.pop(key)[1].drop()
+
+
+def _over(f: Callable[[Prepared], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(prepared(spark, sf_dir))
 
 
 _shown = ("word", "round(score, 6) AS score", "df", "cooc")
 _plain = A.Options(filter_pos=False)
 
 
-def _cluster(options: A.Options) -> Query:
-    return _over(lambda s: A.cluster(s, SEED, options, T.word_means(s) if options.tfidf_range else None).selectExpr(*_shown))
+def _found(p: Prepared, options: A.Options, seed: str = SEED) -> DataFrame:
+    means = T.word_means(p.sentences, p.terms) if options.tfidf_range else None
+    return A.cluster(p.sentences, seed, options, means, p.vocab)
+
+
+def _cluster(options: A.Options, seed: str = SEED) -> Query:
+    return _over(lambda p: _found(p, options, seed).selectExpr(*_shown))
 
 
-def _two(s: DataFrame) -> S.SearchState:
+def _two() -> S.SearchState:
     return S.SearchState().narrowed(SEED).narrowed(SEED2)
 
 
-def _scoped(s: DataFrame) -> DataFrame:
-    rows = A.cluster(S.containing(s, [SCOPE]), SEED, replace(_plain, top_n=100, excluded=(SCOPE,)))
+def _scoped(p: Prepared) -> DataFrame:
+    rows = A.cluster(S.containing(p.sentences, [SCOPE]), SEED, replace(_plain, top_n=100, excluded=(SCOPE,)))
     return A.by_frequency(rows, "cooc", 100).selectExpr(*_shown)
 
 
-def _stats(s: DataFrame) -> DataFrame:
-    stats = A.statistics(A.cluster(s, SEED, replace(_plain, top_n=None)))
-    return stats.select("n_words", *(C.rounded(c, c) for c in stats.columns[1:]))
+_STATS = ("max_score", "mean_score", "median_score", "min_score")
+
+
+def _stats(p: Prepared) -> DataFrame:
+    return A.statistics(_found(p, replace(_plain, top_n=None))).select("n_words", *(C.rounded(c, c) for c in _STATS))
+
 
+def _endpoint(p: Prepared) -> DataFrame:
+    rows = A.by_frequency(_found(p, replace(_plain, top_n=100, min_score_percent=30.0)), "df", 20)
+    return A.with_statistics(rows).select("word", "df", "cooc", "n_words", *(C.rounded(c, c) for c in ("score", *_STATS)))
 
-def _words(s: DataFrame) -> DataFrame:
-    return s.sparkSession.createDataFrame([(SEED,), (SEED2,), ("zzzunknown",)], "word string")
 
+def _with_ids(p: Prepared) -> DataFrame:
+    rows = A.with_sentences(_found(p, _plain), p.sentences, SEED)
+    item = F.coalesce("word", F.col("sid").cast("string")).alias("item")
+    return rows.select("kind", item, F.coalesce("df", F.lit(0)).alias("df"), F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
 
-def _cell(s: DataFrame) -> DataFrame:
-    first = S.containing(s, [SEED]).agg(F.min("sid").alias("sid"))
-    weights = T.weights(s).where(F.col("word") == SEED).join(F.broadcast(first), "sid")
-    return weights.agg(C.rounded(F.coalesce(F.max("weight"), F.lit(0.0)), "weight"))
 
+def _words(p: Prepared) -> DataFrame:
+    return p.sentences.sparkSession.createDataFrame([(SEED,), (SEED2,), ("zzzunknown",)], "word string")
 
-def _page(s: DataFrame) -> DataFrame:
-    return C.texts_of(s, V.page(S.containing(s, [SEED]), *PAGE))
 
+def _cell(p: Prepared) -> DataFrame:
+    sid = S.containing(p.sentences, [SEED]).agg(F.min("sid")).first()[0]
+    return T.cell(p.sentences, -1 if sid is None else sid, SEED, p.terms).select(C.rounded("weight", "weight"))
 
-def _highlights(s: DataFrame) -> DataFrame:
-    rows = V.highlights(S.containing(s, [SEED]), [SEED, SEED2])
+
+def _page(p: Prepared, column: str = "original_text") -> DataFrame:
+    return C.texts_of(p.sentences, V.page(S.containing(p.sentences, [SEED]), *PAGE), column)
+
+
+def _highlights(p: Prepared) -> DataFrame:
+    rows = V.highlights(S.containing(p.sentences, [SEED]), [SEED, SEED2])
     rows = rows.select("sid", F.explode("highlights").alias("word", "places"))
     return rows.select("sid", "word", F.explode("places").alias("at")).withColumn("at", F.col("at").cast("long"))
 
 
+def _shown_page(p: Prepared, ids: DataFrame, words: list[str]) -> DataFrame:
+    hits = [F.coalesce(F.array_join(F.col("highlights")[w], ","), F.lit("")).alias(f"hits_{k}") for k, w in enumerate(words)]
+    return V.shown(p.sentences, ids, words, *PAGE).select("sid", "original_text", *hits, "total")
+
+
+def _cluster_page(p: Prepared) -> DataFrame:
+    return _shown_page(p, X.assigned(p.sentences, known=p.terms).where(F.col("word") == SEED), [SEED])
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select(F.col("page_id").alias("doc_id"), F.array_join(tokens(F.expr(URLS)), " ").alias("processed_text"))
 
 
-def _split(s: DataFrame) -> DataFrame:
-    return C.dense_ids(s).select("sentence_index", "source_document_index", F.col("sent_pos").cast("long").alias("sent_pos"), F.length("original_text").alias("n"))
+def _split(p: Prepared) -> DataFrame:
+    return C.dense_ids(p.sentences).select("sentence_index", "source_document_index", F.col("sent_pos").cast("long").alias("sent_pos"), "original_text")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    flagged = turns.withColumn("inbound", F.when(F.col("role") == "user", " True").otherwise("False"))
+    return customers(flagged).select("conv_id", "turn", F.length("text").alias("n"))
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as quoted CSV files in the shared folder."""
+    path = f"{shared_dir(spark)}/wordloom-csv-{uuid.uuid4().hex}"
+    rows = documents(spark, sf_dir).repartitionByRange(4, "doc_index").sortWithinPartitions("doc_index").select(F.col("text").alias("body"), "doc_index")
+    plain = rows.write.option("header", True).option("escape", '"').option("quoteAll", True)
+    plain.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_csv(spark, _csv(spark, sf_dir), get_source("reddit")).select("doc_index", "text")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[SentenceStore, TextEngine]:
+    """The documents by way of CSV and the sentence store; the second load reads what the first saved."""
+    store, path = SentenceStore(spark, f"{shared_dir(spark)}/wordloom-store-{uuid.uuid4().hex}"), _csv(spark, sf_dir)
+    TextEngine.load(store, "reddit", path).close()
+    return store, TextEngine.load(store, "reddit", path)
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(e.id, e.name, e.status, e.sentence_count) for e in _stored(spark, sf_dir)[0].datasets()]
+    return spark.createDataFrame(found, "id long, name string, status string, sentence_count long")
+
+
+def _without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = rows.select(F.col("doc_id").alias("doc_index"), F.when(F.col("lang") != "de", F.col("text")).alias("text"))
+    return C.sentences(rows).select("sid", "original_text", "processed_text")
+
+
+def _exported(p: Prepared) -> DataFrame:
+    spark = p.sentences.sparkSession
+    path = f"{shared_dir(spark)}/wordloom-export-{uuid.uuid4().hex}"
+    return spark.read.text(export_scores(T.means_of(p.sentences, C.most_frequent(p.vocab, FREQUENT), p.terms), path, score="mean_tfidf")).select(F.col("value").alias("line"))
 
 
 QUERIES: dict[str, Query] = {
     "doc_scan_filtered": lambda spark, d: with_text(documents(spark, d), "text").select("doc_index", F.length("text").alias("n")),
-    "conversations_user_only": lambda spark, d: spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'").select("conv_id", "turn", F.length("text").alias("n")),
+    "csv_scan": _csv_scan,
+    "load_pipeline": lambda spark, d: _stored(spark, d)[1].sentences.select("sid", "original_text", "processed_text"),
+    "dataset_catalog": _catalog,
+    "conversations_user_only": _customers,
     "doc_cap": lambda spark, d: capped(documents(spark, d), 100).select("doc_index", F.length("text").alias("n")),
     "sentences_split": _over(_split),
-    "processed_text": _over(lambda s: s.select("sid", "processed_text")),
+    "sentences_without_text": _without_text,
+    "sentences_own_stop_words": lambda spark, d: C.sentences(documents(spark, d), list(OWN_STOP_WORDS)).select("sid", "processed_text"),
+    "processed_text": _over(lambda p: p.sentences.select("sid", "processed_text")),
+    "processed_page": _over(lambda p: _page(p, "processed_text")),
     "url_strip_literals": _links,
-    "word_total_freq": _over(C.total_frequencies),
-    "vocab_top": _over(lambda s: C.most_frequent(C.vocab(s), FREQUENT)),
-    "vocab_least": _over(lambda s: C.least_frequent(C.vocab(s), FREQUENT)),
-    "words_with_freq": _over(lambda s: C.with_frequency(C.vocab(s), 3)),
-    "word_freq_lookup": _over(lambda s: C.word_frequency(s, SEED)),
-    "posting_lists": _over(C.posting_lists),
-    "seq_search_ids": _over(lambda s: S.matches(s, _two(s))),
-    "seq_search_related": _over(lambda s: S.related(s, _two(s))),
-    "and_contains": _over(lambda s: S.containing(s, [SEED, OTHER]).select("sid")),
-    "seed_context_words": _over(lambda s: S.context_words(s, SEED)),
-    # pairs of words in PAIR_DF sentences at least, as their SQL has them; *_all are over every word
-    "pair_cooc": _over(lambda s: A.pair_counts(s, PAIR_DF)),
-    "pair_cooc_all": _over(A.pair_counts),
-    "pair_lookup": _over(lambda s: A.pair_count(s, SEED2, SEED)),
-    "pmi_pairs": _over(lambda s: A.scored_pairs(s, PAIR_DF).select("w1", "w2", "cooc", C.rounded("pmi", "pmi"))),
-    "npmi_pairs": _over(lambda s: A.scored_pairs(s, PAIR_DF).select("w1", "w2", "cooc", C.rounded("npmi", "npmi"))),
-    "pmi_pairs_all": _over(lambda s: A.scored_pairs(s).select("w1", "w2", "cooc", C.rounded("pmi", "pmi"))),
-    "npmi_pairs_all": _over(lambda s: A.scored_pairs(s).select("w1", "w2", "cooc", C.rounded("npmi", "npmi"))),
+    "word_total_freq": _over(lambda p: C.total_frequencies(p.sentences)),
+    "vocab_top": _over(lambda p: C.most_frequent(p.vocab, FREQUENT)),
+    "vocab_least": _over(lambda p: C.least_frequent(p.vocab, FREQUENT)),
+    "words_with_freq": _over(lambda p: C.with_frequency(p.vocab, 3)),
+    "word_freq_lookup": _over(lambda p: C.word_frequency(p.sentences, SEED)),
+    "posting_lists": _over(lambda p: C.posting_lists(p.sentences).select("word", "block", F.array_join("sids", ",").alias("sids"))),
+    "posting_ranges": _over(lambda p: C.posting_ranges(p.sentences)),
+    "posting_of_word": _over(lambda p: p.of_word(SEED).select("sid", "tf")),
+    "seq_search_ids": _over(lambda p: S.matches(p.sentences, _two())),
+    "seq_search_related": _over(lambda p: S.related(p.sentences, _two())),
+    "and_contains": _over(lambda p: S.containing(p.sentences, [SEED, OTHER]).select("sid")),
+    "seed_context_words": _over(lambda p: S.context_words(p.sentences, SEED)),
+    "pair_cooc": _over(lambda p: A.pair_counts(p.sentences)),
+    "pair_lookup": _over(lambda p: A.pair_count(p.sentences, SEED2, SEED)),
+    "pmi_pairs": _over(lambda p: A.scored_pairs(p.sentences, words=p.vocab).select("w1", "w2", "cooc", C.rounded("pmi", "pmi"))),
+    "npmi_pairs": _over(lambda p: A.scored_pairs(p.sentences, words=p.vocab).select("w1", "w2", "cooc", C.rounded("npmi", "npmi"))),
     "assoc_default": _cluster(_plain),
+    "assoc_seed_normalised": _cluster(_plain, f" {SEED.upper()} "),
     "assoc_npmi": _cluster(replace(_plain, use_npmi=True)),
     "assoc_min_freq": _cluster(replace(_plain, min_freq=MIN_DF)),
     "assoc_unweighted": _cluster(replace(_plain, use_freq_weighting=False)),
@@ -125,26 +215,35 @@ QUERIES: dict[str, Query] = {
     "assoc_pct30": _cluster(replace(_plain, top_n=None, min_score_percent=30.0)),
     "assoc_tfidf_range": _cluster(replace(_plain, tfidf_range=TFIDF_RANGE)),
     "pos_filtered_assoc": _cluster(A.Options()),
-    "assoc_by_freq": _over(lambda s: A.by_frequency(A.cluster(s, SEED, replace(_plain, top_n=100, min_score_percent=30.0)), "df", 20).selectExpr(*_shown)),
-    "assoc_with_freq": _over(lambda s: A.cluster(s, SEED, _plain).select("word", "df", C.rounded("score", "score"))),
-    "assoc_with_sentences": _over(lambda s: S.containing(s, [SEED]).select("sid")),
+    "pos_filter_batch": _over(lambda p: p.sentences.select("sid", F.array_join(useful_words(F.col("tokens")), " ").alias("words"))),
+    "assoc_by_freq": _over(lambda p: A.by_frequency(_found(p, replace(_plain, top_n=100, min_score_percent=30.0)), "df", 20).selectExpr(*_shown)),
+    "assoc_by_freq_5x": _over(lambda p: A.by_frequency(_found(p, replace(_plain, top_n=50, min_score_percent=30.0)), "df", 10).selectExpr(*_shown)),
+    "assoc_with_stats": _over(_endpoint),
+    "assoc_with_freq": _over(lambda p: _found(p, _plain).select("word", "df", C.rounded("score", "score"))),
+    "assoc_with_sentences": _over(lambda p: _with_ids(p)),
     "assoc_scoped": _over(_scoped),
     "assoc_stats": _over(_stats),
-    "tfidf_weights": _over(lambda s: T.weights(s).select("sid", "word", C.rounded("weight", "weight"))),
-    "tfidf_mean_all": _over(lambda s: T.word_means(s).select("word", C.rounded("mean_tfidf", "mean_tfidf"))),
-    "tfidf_words": _over(lambda s: T.means_of(s, _words(s)).select("word", C.rounded("mean_tfidf", "mean_tfidf"))),
-    "top_words_tfidf": _over(lambda s: T.means_of(s, C.most_frequent(C.vocab(s), FREQUENT)).select("word", "df", C.rounded("mean_tfidf", "mean_tfidf"))),
+    "tfidf_weights": _over(lambda p: T.weights(p.sentences, known=p.terms).select("sid", "word", C.rounded("weight", "weight"))),
+    "tfidf_mean_all": _over(lambda p: T.word_means(p.sentences, p.terms).select("word", C.rounded("mean_tfidf", "mean_tfidf"))),
+    "tfidf_words": _over(lambda p: T.means_of(p.sentences, _words(p), p.terms).select("word", C.rounded("mean_tfidf", "mean_tfidf"))),
+    "top_words_tfidf": _over(lambda p: T.means_of(p.sentences, C.most_frequent(p.vocab, FREQUENT), p.terms).select("word", "df", C.rounded("mean_tfidf", "mean_tfidf"))),
+    "tfidf_export": _over(_exported),
     "tfidf_cell": _over(_cell),
-    "excl_assign": _over(X.assigned),
-    "excl_sizes": _over(lambda s: X.sizes(X.assigned(s))),
-    "excl_top": _over(lambda s: X.top_clusters(X.assigned(s), 20, 2)),
-    "excl_first_n": _over(lambda s: X.first_n(s, X.assigned(s), 1000)),
-    "excl_excluded": _over(lambda s: X.assigned(s, (SEED, SEED2))),
-    "excl_legacy": _over(X.legacy),
-    "excl_raw": _over(lambda s: X.sizes(X.assigned(s, min_df=1, weighted=False))),
-    "excl_raw_scores": _over(X.raw_scores),
-    "iter_excl_1seed": _over(lambda s: X.sizes(X.iterated(s, [SEED]))),
-    "iter_excl_2seed": _over(lambda s: X.sizes(X.iterated(s, [SEED, SEED2]))),
+    "excl_assign": _over(lambda p: X.assigned(p.sentences, known=p.terms)),
+    "excl_sizes": _over(lambda p: X.sizes(X.assigned(p.sentences, known=p.terms))),
+    "excl_top": _over(lambda p: X.top_clusters(X.assigned(p.sentences, known=p.terms), 20, 2)),
+    "excl_least": _over(lambda p: X.ranked(X.assigned(p.sentences, known=p.terms), 20, least=True)),
+    "excl_of_size": _over(lambda p: X.ranked(X.assigned(p.sentences, known=p.terms), size=3)),
+    "excl_first_n": _over(lambda p: X.first_n(p.sentences, X.assigned(p.sentences, known=p.terms), 1000)),
+    "excl_excluded": _over(lambda p: X.assigned(p.sentences, (SEED, SEED2), known=p.terms)),
+    "excl_legacy": _over(lambda p: X.legacy(p.sentences, p.terms)),
+    "excl_raw": _over(lambda p: X.sizes(X.assigned(p.sentences, min_df=1, weighted=False, known=p.terms))),
+    "excl_raw_scores": _over(lambda p: X.raw_scores(p.sentences, p.terms)),
+    "excl_drilled": _over(lambda p: X.sizes(X.drilled(p.sentences, RAW, p.terms))),
+    "excl_sentences": _over(_cluster_page),
+    "iter_excl_1seed": _over(lambda p: X.sizes(X.iterated(p.sentences, [SEED], p.terms))),
+    "iter_excl_2seed": _over(lambda p: X.sizes(X.iterated(p.sentences, [SEED, NEXT], p.terms))),
     "sentence_page": _over(_page),
+    "path_sentences": _over(lambda p: _shown_page(p, S.containing(p.sentences, [SEED, SEED2]), [SEED, SEED2])),
     "highlights": _over(_highlights),
 }
