@@ -29,6 +29,14 @@ CONTEXT = {
 }
 AGAINST = ("example", "order no", "invoice", "version", "isbn")
 
+
+def _whole(words: tuple[str, ...]) -> re.Pattern:
+    """Any of the words, not inside longer ones, in any case."""
+    return re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, words))})(?![^\W_])", re.I)
+
+
+_CONTEXT, _AGAINST = {kind: _whole(words) for kind, words in CONTEXT.items()}, _whole(AGAINST)
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -129,8 +137,8 @@ def find_spans(text: str) -> list[Span]:
     """All confirmed spans of a whole text by start, then kind; offsets in code points, end exclusive."""
     spans = []
     for kind, s, e in _proposed(text):
-        around = f"{text[max(0, s - NEAR) : s]} {text[e : e + NEAR]}".lower()
-        score = PRIOR[kind] + 0.4 * any(w in around for w in CONTEXT[kind]) - 0.2 * any(w in around for w in AGAINST)
+        around = f"{text[max(0, s - NEAR) : s]}\n{text[e : e + NEAR]}"
+        score = PRIOR[kind] + 0.4 * bool(_CONTEXT[kind].search(around)) - 0.2 * bool(_AGAINST.search(around))
         if kind in BASE or score >= LEAST_SCORE:
             spans.append(Span(s, KINDS.index(kind), e, round(min(1.0, max(0.0, score)), 2)))
     return sorted(spans)
@@ -166,20 +174,21 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([hashlib.sha256(_listed(b).encode()).hexdigest() for b in base], pa.string()),
                     pa.array([_listed(spans) for spans in found], pa.string()),
                     pa.array([max((s.score for s in spans), default=0.0) for spans in found], pa.float64()),
+                    pa.array([",".join(f"{s.score:.2f}" for s in spans) for spans in found], pa.string()),
                 ],
-                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "top_score"],
+                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "top_score", "scores"],
             )
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: counts by base kind, the digest of base spans, all spans, the highest score.
+    """One row per row of ``docs``: counts by base kind, the digest of base spans, all spans, the highest score, all scores.
 
     A null text is an empty one and has no spans; ids are passed through, null or repeated; an empty
     table gives no rows; other columns are ignored. Work is per row and linear in the text.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _rows,
-        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, top_score double",
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, top_score double, scores string",
     )
 
 
