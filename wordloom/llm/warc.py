@@ -20,7 +20,7 @@ ARCHIVE_BYTES = 256 << 20
 #: Records that lie at most GAP apart are read at once, up to READ_BYTES.
 GAP, READ_BYTES = 64 << 10, 4 << 20
 #: Archive bytes that a task reads, about.
-TASK_BYTES = 128 << 20
+TASK_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 INDEX = "page_id long, url string, payload_digest string, record_type string, file string, offset long, length long"
@@ -28,9 +28,12 @@ RECORD = "page_id long, url string, record_type string, payload_digest string, r
 
 
 def _store(uri: str) -> tuple[Any, str]:
-    """The file system of a URI or path, and the path on it."""
+    """The file system of a URI or path, and the path on it: local, hdfs, viewfs, s3 (s3a, s3n), gs, abfs as pyarrow knows them."""
     from pyarrow import fs
 
+    for name, known in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if uri.startswith(name):
+            uri = known + uri[len(name) :]
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
