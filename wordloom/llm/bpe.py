@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a leaf, and ids of a leaf when decoding.
-LEAF = 16_384
+LEAF = 1024
 #: Characters first searched on either side of a boundary; doubled until a stable point is found.
 WINDOW = 64
 #: Between a character that is no white space and one that is, every match of the pattern ends: none
