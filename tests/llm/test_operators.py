@@ -1,8 +1,11 @@
 """Operators over small tables: brute force, ties, nulls, empty tables, repeated rows, clashing names."""
 
+import base64
 import hashlib
 import random
+import re
 import textwrap
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -11,9 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wordloom.llm import bpe, caps, chat, licenses, minhash, packing, pages, pii, quality, queries, warc
+from wordloom.llm import blocks, bpe, caps, chat, licenses, minhash, packing, pages, pii, quality, queries, warc
 
-from .test_pure import plain_shingles
+from .test_pure import plain_shingles, plain_spans
 
 DIR = "/root/testdata/sf0.001"
 
@@ -302,6 +305,118 @@ def test_pages_edges(spark):
     assert pages.extracted(rows.limit(0)).count() == 0
 
 
+class Article(HTMLParser):
+    """Text blocks of a page's article element, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.raw, self.done, self.parts, self.now = 0, 0, False, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.now).split())
+        self.now = []
+        if text:
+            self.parts.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article" and not self.done
+        self.raw += tag in blocks.RAW
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in blocks.INLINE:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        self.raw = max(0, self.raw - (tag in blocks.RAW))
+        if tag not in blocks.INLINE:
+            self.flush()
+        if tag == "article" and self.depth:
+            self.depth -= 1
+            self.done = not self.depth
+
+    def handle_data(self, data):
+        if self.depth and not self.raw:
+            self.now.append(data)
+
+
+def article(page):
+    parser = Article()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    return "\n\n".join(parser.parts)
+
+
+def test_pages_equal_their_articles(spark):
+    """The query over every page of two tables against a plain parser that looks for the article element."""
+    for folder in (DIR, DIR.replace("0.001", "0.01")):
+        html = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+        found = {r["page_id"]: (r["text"], r["n_chars"]) for r in queries.op10_html_extraction(spark, folder).collect()}
+        assert found == {k: (t, len(t)) for k, t in ((k, article(h)) for k, h in html.items())}
+
+
+def test_pages_without_an_article_element(spark):
+    words = [" ".join(f"{x}ord{k % 7}" for k in range(60)) + "." for x in "wfc"]
+    body = "".join(f"<p>{w}</p>" for w in words)
+    chrome = '<nav><a href="/a">Home</a> <a href="/b">About</a></nav>', "<footer>&copy; 2024 All rights reserved.</footer>"
+    rows = [(1, f"<body>{body}</body>"), (1, f"<body>{body}</body>"), (2, f"<body>{chrome[0]}{body}{chrome[1]}</body>"), (3, f"<div class=content>{'<p>a b c d e f g.</p>' * 3000}</div>")]
+    found = pages.extracted(spark.createDataFrame([(*r, "u", 1, 2) for r in rows], "page_id long, html string, url string, n_chars int, block int")).collect()
+    text = "\n\n".join(words)
+    assert sorted((r["page_id"], r["text"]) for r in found if r["page_id"] < 3) == [(1, text), (1, text), (2, text)]
+    assert next(r["n_chars"] for r in found if r["page_id"] == 3) == 3000 * 16 - 2
+
+
+def test_bpe_query_by_brute_force(spark):
+    """Counts, digests and decoded bytes of every document, and of one long text, by the library alone."""
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    whole = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    odd = {1: None, 2: "word  \n" * 40_000, 3: "x" * 50_000, 4: "\t " * 9_000 + "é"}
+    rows = spark.createDataFrame([(k, t, 0, "z") for k, t in odd.items()], "doc_id long, text string, n_tokens int, ids string")
+    for given, df in ((texts, queries.op9_byte_bpe(spark, DIR)), (odd, bpe.encoded(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN))):
+        found = {r["doc_id"]: r for r in df.collect()}
+        assert found.keys() == given.keys()
+        for k, t in given.items():
+            ids = whole.encode_ordinary(t or "")
+            expected = len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
+            assert (found[k]["n_tokens"], found[k]["ids_sha256"], found[k]["decoded_sha256"]) == expected, k
+
+
+def plain_added(text):
+    """IBANs and social security numbers, by trying every start and length."""
+    out, at = [], 0
+    while at < len(text):
+        size = None
+        if re.match(r"[A-Z]{2}[0-9]{2}", text[at : at + 4]) and not (at and text[at - 1].isalnum()):
+            for end in range(at + 15, min(len(text), at + 44) + 1):
+                bare = text[at:end].replace(" ", "")
+                if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", text[at:end]) and len(bare) == pii._IBAN_CHARS.get(bare[:2]) and not text[end : end + 1].isalnum():
+                    if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                        size = end - at
+        if size:
+            out.append(("iban", at, at + size))
+        at += size or 1
+    return out
+
+
+def test_pii_query_by_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    added = {10**6: "IBAN BE68 5390 0754 7034 BIC GEBABEBB", 10**6 + 1: "my ssn 123-45-6789" + " word" * 20 + " assn 219-09-9999", 10**6 + 2: "a@b.cd " * 30_000 + "1.2.3.4"}
+    rows = spark.createDataFrame([(k, t, 0) for k, t in (texts | added).items()], "doc_id long, text string, spans int")
+    found = {r["doc_id"]: r for r in pii.personal_data(rows).collect()}
+    for k, t in (texts | added).items():
+        base = [(pii.BASE[rank], s, e) for s, rank, e in plain_spans(t)]
+        assert found[k]["base_sha256"] == hashlib.sha256(",".join(f"{kind}:{s}:{e}" for kind, s, e in base).encode()).hexdigest()
+        assert [found[k][f"n_{kind}"] for kind in pii.BASE] == [sum(b[0] == kind for b in base) for kind in pii.BASE]
+        spans = [tuple(s.split(":")) for s in found[k]["spans"].split(",") if s]
+        assert [(kind, int(s), int(e)) for kind, s, e in spans if kind == "iban"] == plain_added(t), k
+        assert [s for s in spans if s[0] in pii.BASE] == [(kind, str(s), str(e)) for kind, s, e in base] and len(found[k]["scores"].split(",")) == max(1, len(spans))
+    assert found[10**6 + 1]["spans"] == "ssn:7:18" and found[10**6 + 2]["n_email"] == 30_000 and found[10**6 + 2]["n_ip"] == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()

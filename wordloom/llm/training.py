@@ -13,7 +13,11 @@ import numpy as np
 
 from . import blocks as B
 
-PAGES, EPOCHS, SEED, BATCH, RATE = 5000, 5, 5, 32, 4e-3
+PAGES, EPOCHS, SEED, BATCH, RATE = 6000, 5, 5, 32, 4e-3
+#: Share of pages whose main text has no element of its own.
+BARE = 0.2
+#: Share of pages that are nothing but their main text.
+PLAIN = 0.08
 SYLLABLES = (
     "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split(),
     "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ment tion eau eux oi ai ou".split(),
@@ -94,6 +98,8 @@ class Maker:
         opened = [o for o in (r.choice(WRAP), r.choice(MAIN)) if o]
         if r.random() < 0.25:
             opened.append(r.choice(MAIN))
+        if r.random() < BARE:
+            opened = []  # the text lies in the body, as its menus do
         out: list[tuple[str, bool | None]] = [(o, None) for o in opened]
         title = self.words(r.randint(2, 12))
         if r.random() < 0.85:
@@ -128,6 +134,8 @@ class Maker:
         self.noise = ["***", "###", "%%%", "$$$", "&amp;&amp;"] if r.random() < 0.08 else []
         before = [k for k in ("header", "nav", "ad", "notice", "form", "aside") if r.random() < (0.75 if k == "nav" else 0.4)]
         after = [k for k in ("comments", "aside", "ad", "form", "notice", "nav", "footer") if r.random() < (0.8 if k == "footer" else 0.3)]
+        if r.random() < PLAIN:
+            before, after = [], []
         r.shuffle(before)
         if r.random() < 0.4:
             r.shuffle(after)
