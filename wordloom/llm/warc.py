@@ -19,6 +19,8 @@ from .stage import new_path, written
 ARCHIVE_BYTES = 256 << 20
 #: Records that lie at most GAP apart are read at once, up to READ_BYTES.
 GAP, READ_BYTES = 64 << 10, 4 << 20
+#: Parts that the rows of one payload are dealt into.
+PARTS = 64
 #: Archive bytes that a task reads, about.
 TASK_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -161,15 +163,19 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     ``min_bytes``, those with the largest page_id are responses and others revisit them; rows without
     an id revisit only where some row has one. A null url has no target; rows may repeat; an empty
     table gives an empty index; other columns are ignored. Payloads travel once, towards the row that
-    names their response; many equal ones are a skewed join, which Spark splits.
+    names their response, equal ones in PARTS parts with a copy of that row each, so that many equal
+    pages are not one task. A payload of any length is one row.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload"))
-    firsts = rows.groupBy("sha", "size").agg(F.max("page_id").alias("first"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)))
+    slots = rows.groupBy("sha", "size", "part").agg(F.max("page_id").alias("first"))
+    best = slots.groupBy("sha", "size").agg(F.max("first").alias("first"))
+    firsts = slots.drop("first").join(best, ["sha", "size"])
     revisit = (F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    ready = rows.join(firsts, ["sha", "size"]).select(
+    ready = rows.join(firsts, ["sha", "size", "part"]).select(
         "page_id", "url", "payload", "sha",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
     )
