@@ -221,6 +221,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert next(bytes(r["payload"]) for r in records if r["page_id"] == 5) == "é\r\n\r\nWARC/1.1\r\n".encode()
     sizes = {r["page_id"]: r["payload_bytes"] for r in warc.resolved(warc.read_records(index)).collect()}
     assert sizes == {1: 8, 2: 8, 3: 0, 4: 0, 5: 16, None: 8}
+    many = spark.createDataFrame([(k, f"u{k}", "same" if k % 3 else "é" * (5 << 20)) for k in range(300) if k % 3 or k < 9], "page_id long, url string, html string")
+    found = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.resolved(warc.read_records(warc.write_archives(many))).collect()}
+    assert found == {k: (4, "revisit", 299) if k % 3 else (10 << 20, "revisit", 6) for k in found} | {299: (4, "response", None), 6: (10 << 20, "response", None)} and len(found) == 203
     one = warc.read_records(index.where("page_id = 5")).collect()
     assert len(one) == 1 and one[0]["page_id"] == 5
     assert warc.read_records(warc.write_archives(table.limit(0))).count() == 0
@@ -453,3 +456,52 @@ def test_pipeline_null_and_repeated_ids(spark):
     found = sorted((str(r["doc_id"]), str(r["text"])) for r in one.collect())
     assert found == sorted([("7", a), ("1", b), ("3", c), ("None", d), ("5", "x y"), ("6", "None")]) and one.columns == docs.columns
     assert corpus_pipeline.no_near_duplicates(spark, docs.limit(0), DIR).count() == 0
+
+
+CLASHING = "row struct<m:int>, m int, key long, id string, host string, bad_host boolean, kept boolean, place int, again boolean, digest binary, words array<string>, offset int"
+
+
+def odd_documents(spark):
+    """Nulls in every column, repeated rows and ids, empty and long texts, and columns named as the operators' own."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    long = " ".join(f"l{k}" for k in range(60_000))
+    rows = [(1, a, "en", "s", 9), (1, a, "en", "s", 9), (2, a + " end", None, None, None), (None, b, None, None, None), (None, b, "en", "s", 1), (3, None, "de", "t", 5), (4, "", "de", "t", 0)]
+    rows += [(5, long, "en", "u", 1), (6, long + " tail", "en", "u", 1), (7, a + " mail me@x.org now", "en", "s", 3), (2, b + " else", "en", "s", 4)]
+    return spark.createDataFrame([(*r, (4,), *[None] * 11) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"), (a, b, long)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    docs, (a, b, long) = odd_documents(spark)
+    kept = corpus_pipeline.good_quality(spark, docs, DIR)
+    assert kept.schema == docs.schema and kept.count() == 9 and not kept.where("text is null or text = ''").count()
+    assert {r["row"]["m"] for r in kept.collect()} == {4}
+    one = corpus_pipeline.no_near_duplicates(spark, docs, DIR)
+    found = sorted((str(r["doc_id"]), (r["text"] or "")[:3], r["n_chars"]) for r in one.collect())
+    assert one.columns == docs.columns
+    assert [f[:2] for f in found] == [("3", ""), ("4", ""), ("5", "l0 "), ("7", "a0 "), ("None", "b0 ")]  # null and repeated ids come after others, by place
+    masked = corpus_pipeline.no_personal_data(spark, docs, DIR)
+    rows = masked.collect()
+    assert masked.schema == docs.schema and len(rows) == docs.count()
+    assert {(r["text"], r["n_chars"]) for r in rows if r["doc_id"] in (3, 7)} == {(None, 5), (a + " mail [EMAIL] now", len(a) + 17)}
+    pieces = corpus_pipeline.packed(spark, docs, DIR).collect()
+    totals = {}
+    for r in pieces:
+        totals[r["doc_id"]] = totals.get(r["doc_id"], 0) + r["length"]
+    assert set(totals) == {None, 1, 2, 3, 4, 5, 6, 7} and totals[3] == totals[4] == 1 and totals[5] > 60_000
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All stages in a row over a table with every kind of row: what stays is what plain rules keep."""
+    words = [" ".join(f"{x}{k}" for k in range(50)) for x in "cdefgh"]
+    rows = [(10 * k + j, w + f" v{j}", "en", f"s{k}", 0) for k, w in enumerate(words) for j in range(3)]
+    rows += [(900, "too few", "en", "s0", 0), (901, "a b c " * 40, "en", "s1", 0), (902, None, "en", "s2", 0), (903, words[0][:-4] + " call +49 30 1234567 now x y z", "en", "s2", 0)]
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/t/documents.parquet")
+    good = {k: t for k, t, *_ in rows if t and len(t.split()) >= 10 and k != 901}
+    ids, sets = sorted(good), {k: plain_shingles(t, 5) for k, t in good.items()}
+    links = [(i, j) for i in range(len(ids)) for j in range(i) if 100 * len(sets[ids[i]] & sets[ids[j]]) >= 80 * len(sets[ids[i]] | sets[ids[j]])]
+    stay = {ids[k]: good[ids[k]] for k, c in enumerate(components(len(ids), links)) if k == c}
+    assert 900 not in stay and 901 not in stay and 902 not in stay and len(stay) < len(good)
+    check_packed(corpus_pipeline.run(spark, f"{tmp_path}/t").collect(), {k: pii.mask(t, pii.find_spans(t)) for k, t in stay.items()})

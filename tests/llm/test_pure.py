@@ -74,7 +74,7 @@ def test_pii_equals_plain_regexes():
         text = "".join(r.choice(bits) for _ in range(r.randrange(14)))
         assert [s[:3] for s in pii.find_spans(text) if s.kind in pii.BASE] == plain_spans(text), text
     long = "9" * 50_000 + "a" * 50_000 + "@" + "." * 1000 + "1." * 20_000
-    assert [s[:3] for s in pii.find_spans(long) if s.kind in pii.BASE] is not None
+    assert [(s.kind, s.end - s.start) for s in pii.find_spans(long) if s.kind in pii.BASE] == [("ip", 7)] * 5000
     assert any(s.kind == "iban" for s in pii.find_spans("IBAN DE89 3704 0044 0532 0130 00 please"))
     assert not any(s.kind == "iban" for s in pii.find_spans("IBAN DE89 3704 0044 0532 0130 01 please"))
     assert any(s.kind == "ssn" for s in pii.find_spans("my SSN: 123-45-6789"))
