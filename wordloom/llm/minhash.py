@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sketch import band_shape, bands, sketch
-from .stage import drop, written
+from .stage import drop, joined, written
 from .wordsets import digest, sets
 
 
@@ -30,7 +30,7 @@ class NearDuplicates:
 
     shingle_words: int = 5
     percent: int = 80
-    rows: int = 8
+    rows: int = 6
     miss: float = 1e-6
     slack: float | None = 4.5
     fine: int = 4
@@ -210,13 +210,13 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     reps = whole.join(of_class, (whole.id == of_class.rep) & (whole.digest == of_class.its))
     in_bucket = reps.select("id", F.explode("keys").alias("key"))
     heads = in_bucket.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
-    members = written(in_bucket.join(heads, "key").select("key", "head", "id").distinct(), "members")
+    heads = written(heads, "heads")
+    members = written(joined(in_bucket, heads, "key", "inner").select("key", "head", "id").distinct(), "members")
 
     stars = written(members.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    wanted = members.select("id").distinct()
-    shingle_sets = written(
-        own.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_hashed(how.shingle_words), "id long, set binary"), "sets"
-    )
+    wanted = written(members.select("id").distinct(), "wanted")
+    texts = joined(own, wanted, "id").select("id", "text")
+    shingle_sets = written(texts.mapInArrow(_hashed(how.shingle_words), "id long, set binary"), "sets")
     links = written(verified(stars, shingle_sets, how.percent), "links")
     labels = components(links)
 
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     if not late.isEmpty():
         labels = components(links.unionByName(late))
 
-    drop(members, stars, shingle_sets, links, seconds, found, late)
+    drop(heads, wanted, members, stars, shingle_sets, links, seconds, found, late)
     part = F.pmod(F.xxhash64("id"), F.lit(how.parts)).alias("part")
     found = classes.join(labels, classes.rep == labels.id, "left").select("digest", F.coalesce("label", "rep").alias("component"))
     slots = whole.select("digest", part).distinct().join(found, "digest")

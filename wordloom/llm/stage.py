@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shared import shared_dir
 
@@ -47,6 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of one or two long columns is broadcast up to this many rows, about 20 MB in memory.
+BROADCAST_ROWS = 1 << 19
+
+
+def joined(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """df joined with a written table of one or two long columns: by a broadcast if it is counted to be
+    small, so that wide rows of df stay where they are, else by a shuffle of both."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables that ``written`` made and nobody reads any more."""
     for df in tables:
