@@ -107,12 +107,13 @@ def host_verdicts(failures: DataFrame, deviations: float) -> DataFrame:
     than ``deviations`` of the prior's standard deviations above its mean; with equal shares none is.
     """
     hosts = failures.groupBy("host").agg(F.sum(F.col("failed").cast("long")).alias("failed"), F.count("*").alias("n"))
+    hosts = written(hosts, "hosts")
     share = F.col("failed") / F.col("n")
-    mean, var = F.col("p.mean"), F.col("p.var")
-    prior = hosts.agg(F.struct(F.avg(share).alias("mean"), F.var_pop(share).alias("var")).alias("p")).scalar()
-    weight = F.when((var > 0) & (mean * (1 - mean) > var), mean * (1 - mean) / F.nullif(var, F.lit(0.0)) - 1).otherwise(1.0)
-    shrunk = hosts.withColumn("p", prior).withColumn("share", (F.col("failed") + mean * weight) / (F.col("n") + weight))
-    return shrunk.select("host", "share", ((var > 0) & (F.col("share") > mean + deviations * F.sqrt(var))).alias("bad"))
+    mean, var = hosts.agg(F.coalesce(F.avg(share), F.lit(0.0)), F.coalesce(F.var_pop(share), F.lit(0.0))).first()
+    weight = mean * (1 - mean) / var - 1 if 0 < var < mean * (1 - mean) else 1.0
+    shrunk = hosts.withColumn("share", (F.col("failed") + mean * weight) / (F.col("n") + weight))
+    cut = mean + deviations * var**0.5 if var > 0 else float("inf")
+    return shrunk.select("host", "share", (F.col("share") > cut).alias("bad"))
 
 
 def judged(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", host_col: str = "source", keep: list[str] | None = None) -> DataFrame:
