@@ -289,7 +289,12 @@ def check_packed(rows, texts):
 def test_packing_brute_force(spark):
     table = spark.read.parquet(f"{DIR}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in table.collect()}
-    check_packed(queries.op8_packing(spark, DIR).collect(), texts)
+    rows = queries.op8_packing(spark, DIR).collect()
+    sequences = check_packed(rows, texts)
+    assert len(sequences) <= 1.02 * sum(r["length"] for r in rows) / packing.CAPACITY + 2  # little padding
+    repeated = spark.createDataFrame([(7, "a few words", 0)] * 40 + [(None, "others", 0)] * 3, "doc_id long, text string, sequence_id int")
+    twice = packing.packed(repeated, P.path("word_bpe_49k.json")).collect()
+    assert len(twice) == 43 and len({(r["sequence_id"], r["offset"]) for r in twice}) == 43
     odd = {1: None, 2: "", 3: "word " * 9000, 4: "a"}
     rows = spark.createDataFrame([(k, v, 0) for k, v in odd.items()], "doc_id long, text string, offset int")
     check_packed(packing.packed(rows, P.path("word_bpe_49k.json")).collect(), odd)

@@ -6,7 +6,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -111,6 +111,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids of the words met so far; of another word they are found, and kept, when asked for."""
+
+    def __init__(self, find: Callable[[str], bytes]) -> None:
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMORY:
+            self.clear()
+        ids = self[word] = self.find(word)
+        return ids
+
+
 class Tokens:
     """Ids of the words of a text; words recur, so each is encoded once while it is remembered.
 
@@ -124,34 +137,26 @@ class Tokens:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        self.encode, self.model, self.known, self.pieces = whole.encode, whole.model, {"": b""}, {}
+        self.encode, self.model, self.known, self.pieces = whole.encode, whole.model, _Known(self._ids), _Known(self._piece)
         prepared = tuple(json.loads(part.__getstate__()) if part else None for part in (whole.normalizer, whole.pre_tokenizer))
         self.split = prepared == _PREPARED and not self.model.dropout and all("<|" in t.content for t in whole.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= MEMORY:
-            self.pieces.clear()
         letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         found = [t.id for t in self.model.tokenize(letters)]
-        ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
-        return ids
+        return struct.pack(f"<{len(found)}I", *found)
 
-    def _missing(self, word: str) -> bytes:
-        if len(self.known) >= MEMORY:
-            self.known.clear()
+    def _ids(self, word: str) -> bytes:
         if self.split and "<|" not in word and _PLAIN.fullmatch(word):
-            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(word.lower())])
-        else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes() if word else b""
-        self.known[word] = ids
-        return ids
+            pieces = _PIECE.findall(word.lower())
+            return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+        return np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes() if word else b""
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        get, missing = self.known.get, self._missing
-        return b"".join([get(w) if w in self.known else missing(w) for w in words])
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=1)
