@@ -193,14 +193,16 @@ def test_cap_directions_are_all_that_exceed():
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         code = caps.Code(dim, 10_000, how)
         row, direction = code.filters(unit)
-        expected = []
+        expected, doubtful = set(), set()
         for k, (turn, one, two) in enumerate(code.halves):
             spun = np.pad(unit, ((0, 0), (0, code.pad))) @ turn
             mid = spun.shape[1] // 2
             score = (spun[:, :mid] @ one)[:, :, None] + (spun[:, mid:] @ two)[:, None, :]
-            r, i, j = np.nonzero(score >= code.height * 2**0.5)
-            expected += zip(r.tolist(), ((k * code.words + i) * code.words + j).tolist())
-        assert sorted(expected) == list(zip(row.tolist(), direction.tolist())), dim
+            for found, slack in ((expected, 0), (doubtful, 1e-5)):
+                r, i, j = np.nonzero((score >= code.height * 2**0.5) if not slack else abs(score - code.height * 2**0.5) < slack)
+                found |= set(zip(r.tolist(), ((k * code.words + i) * code.words + j).tolist()))
+        given = list(zip(row.tolist(), direction.tolist()))
+        assert given == sorted(given) and set(given) - doubtful == expected - doubtful and len(given) > 100, dim
 
 
 def test_cap_recall_at_the_threshold():

@@ -79,15 +79,15 @@ class Code:
             turn = np.linalg.qr(rng.standard_normal((width, width)))[0]
             words = rng.standard_normal((2, self.words, width // 2))
             words /= np.linalg.norm(words, axis=2, keepdims=True)
-            self.halves.append((turn, words[0].T, words[1].T))
+            self.halves.append(tuple(np.ascontiguousarray(x, dtype=np.float32) for x in (turn, words[0].T, words[1].T)))
 
     def filters(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, direction) of every direction that each row exceeds, by row, then direction.
+        """(row, direction) of every direction that each row exceeds, in single precision, by row, then direction.
 
         A codeword can only take part if it and the best one of the other half reach the height
         together; all pairs of those that can are tried."""
-        unit = np.pad(unit, ((0, 0), (0, self.pad)))
-        need, mid = self.height * math.sqrt(2), unit.shape[1] // 2
+        unit = np.pad(unit, ((0, 0), (0, self.pad))).astype(np.float32)
+        need, mid = np.float32(self.height * math.sqrt(2)), unit.shape[1] // 2
         rows, found = [], []
         for k, (turn, one, two) in enumerate(self.halves):
             spun = unit @ turn
@@ -140,8 +140,13 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _vectors(raw: list[bytes], dim: int) -> np.ndarray:
-    v = np.stack([np.frombuffer(x, "<f4" if len(x) == 4 * dim else "<f8").astype(float) for x in raw])
+def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Binary vectors of one length, in single or double precision, at unit length in double precision."""
+    raw = vectors.to_pylist()
+    if all(len(x) == 4 * dim for x in raw):
+        v = np.frombuffer(b"".join(raw), "<f4").reshape(-1, dim).astype(float)
+    else:
+        v = np.stack([np.frombuffer(x, "<f4" if len(x) == 4 * dim else "<f8").astype(float) for x in raw])
     v /= np.abs(v).max(axis=1, keepdims=True)  # no overflow below
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -153,11 +158,11 @@ def _filtered(how: Caps, vectors: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                dims, raw = part.column("dim").to_numpy(), part.column("vector").to_pylist()
-                own: list[np.ndarray] = [np.zeros(0, np.int32)] * len(raw)
+                dims = part.column("dim").to_numpy()
+                own: list[np.ndarray] = [np.zeros(0, np.int32)] * part.num_rows
                 for dim in np.unique(dims).tolist():
                     rows = np.flatnonzero(dims == dim)
-                    row, direction = _code(dim, vectors, how).filters(_vectors([raw[r] for r in rows], dim))
+                    row, direction = _code(dim, vectors, how).filters(_unit(part.column("vector").take(pa.array(rows)), dim))
                     ends = np.cumsum(np.bincount(row, minlength=len(rows)))[:-1]
                     for r, found in zip(rows, np.split(direction, ends), strict=True):
                         own[r] = found
@@ -206,63 +211,67 @@ def _linked(how: Caps):
 
     Each linked pair counts in the first filter that both exceed, so in no other cell; a cell gives a row
     for a member and for a link of a spanning forest, never one for every pair."""
-    keys = ("label", "dim", "filter", "i", "j")
+    keys = ("key", "i", "j", "label", "dim", "filter")
 
-    def cell(rows: pa.RecordBatch, out: list[tuple[int, int, int | None]]) -> None:
-        dim, filter_, i, j = (rows.column(c)[0].as_py() for c in keys[1:])
-        block = rows.column("block").to_numpy()
-        if rows.num_rows < 2 or (i != j and (not (block == i).any() or not (block == j).any())):
-            return
-        unit = _vectors(rows.column("vector").to_pylist(), dim)
-        near = np.triu(unit @ unit.T >= how.cosine, 1)
-        if i != j:
-            near &= block[:, None] != block[None, :]
-        if not near.any():
-            return
-        # filters by member, without a copy of each
+    def report(rows: pa.RecordBatch, near: np.ndarray, out: list[tuple[int, int, int | None]]) -> None:
+        """What a cell with pairs that are near, in the upper triangle, gives."""
         lists = rows.column("filters")
         flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]
-        before = _earlier(np.split(flat, ends), filter_)
+        before = _earlier(np.split(flat, ends), rows.column("filter")[0].as_py())
         if before is None:
             return
         a, b = np.nonzero(near & ~before)
-        if not len(a):
-            return
         ids, size = rows.column("id").to_numpy(), rows.column("size").to_numpy()
         n = np.bincount(a, weights=size[b], minlength=len(ids)) + np.bincount(b, weights=size[a], minlength=len(ids))
         out += [(int(ids[k]), int(n[k]), None) for k in np.flatnonzero(n)]
         out += [(int(ids[p]), 0, int(ids[q])) for p, q in _forest(a, b, len(ids))]
 
+    def cells(table: pa.RecordBatch, edges: np.ndarray, out: list[tuple[int, int, int | None]]) -> None:
+        """Compares the members of each cell, rows edges[k] to edges[k + 1]; cells of one size side by side."""
+        begin, size = edges[:-1], np.diff(edges)
+        dims, block = table.column("dim").to_numpy(), table.column("block").to_numpy()
+        cross = table.column("i").to_numpy()[begin] != table.column("j").to_numpy()[begin]
+        for dim in np.unique(dims[begin[size > 1]]).tolist():
+            rows = np.flatnonzero(dims == dim)
+            unit = _unit(table.column("vector").take(pa.array(rows)), dim)
+            place = np.cumsum(dims == dim) - 1
+            for m in np.unique(size[(size > 1) & (dims[begin] == dim)]).tolist():
+                some = np.flatnonzero((size == m) & (dims[begin] == dim))
+                step = max(1, (1 << 20) // (m * max(m, dim)))
+                upper = np.triu(np.ones((m, m), dtype=bool), 1)
+                for at in range(0, len(some), step):
+                    part = some[at : at + step]
+                    member = begin[part][:, None] + np.arange(m)
+                    v, own = unit[place[member]], block[member]
+                    near = (v @ v.transpose(0, 2, 1) >= how.cosine) & upper
+                    near &= ~cross[part][:, None, None] | (own[:, :, None] != own[:, None, :])
+                    for k in np.flatnonzero(near.any(axis=(1, 2))):
+                        report(table.slice(begin[part[k]], m), near[k], out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of the cell that may go on in the next batch
+        held: pa.RecordBatch | None = None  # the cell that may go on in the next batch
         out: list[tuple[int, int, int | None]] = []
 
-        def same(x: pa.RecordBatch, y: pa.RecordBatch) -> bool:
-            return all(x.column(c)[-1].as_py() == y.column(c)[0].as_py() for c in keys)
-
         def done() -> pa.RecordBatch:
             table = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "n", "b"])
             out.clear()
             return table
 
         for batch in batches:
-            new = np.zeros(batch.num_rows, dtype=bool)
-            for c in keys:
-                column = batch.column(c)
-                marks = column.dictionary_encode().indices.to_numpy() if c == "label" else column.to_numpy()
-                new[1:] |= marks[1:] != marks[:-1]
-            edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                part = batch.slice(s, e - s)
-                if held and not same(held[-1], part):
-                    cell(pa.concat_batches(held), out)
-                    held = []
-                if part.num_rows:
-                    held.append(part)
-            if len(out) > 20_000:
-                yield done()
-        if held:
-            cell(pa.concat_batches(held), out)
+            for at in range(0, batch.num_rows, 4096):
+                table = batch.slice(at, 4096)
+                table = table if held is None else pa.concat_batches([held, table])
+                new = np.zeros(table.num_rows, dtype=bool)
+                for c in keys:
+                    marks = table.column(c).dictionary_encode().indices.to_numpy() if c == "label" else table.column(c).to_numpy()
+                    new[1:] |= marks[1:] != marks[:-1]
+                edges = np.concatenate([[0], np.flatnonzero(new)])
+                held = table.slice(edges[-1])
+                cells(table, edges, out)
+                if len(out) > 20_000:
+                    yield done()
+        if held is not None:
+            cells(held, np.array([0, held.num_rows]), out)
         if out:
             yield done()
 
@@ -293,18 +302,18 @@ def cap_duplicates(vectors: DataFrame, how: Caps = Caps(), id_col: str = "vec_id
     most = 1 << (most - 1).bit_length()  # a little more input leaves directions as they are
     schema = "id long, label string, dim int, vector binary, size long, filters array<int>"
     reps = written(reps.mapInArrow(_filtered(how, most), schema), "filters")
-    member = reps.select("label", "dim", "id", F.explode("filters").alias("filter"))
-    key = ["label", "dim", "filter"]
-    shared = member.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    shared = shared.select(*key, F.ceil(F.col("n") / how.block).cast("int").alias("blocks"))
+    cell = reps.select("id", F.xxhash64("label", "dim").alias("of"), F.explode("filters").alias("filter"))
+    member = cell.select(F.xxhash64("of", "filter").alias("key"), "filter", "id")  # what shares a key by chance is told apart below
+    shared = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks"))
     cells = (
-        member.join(shared, key)
-        .withColumn("block", F.pmod(F.xxhash64("id", "filter"), F.col("blocks")).cast("int"))
+        member.join(shared, "key")
+        .withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
+        .select("key", "filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
         .join(reps, "id")
-        .repartition(*key, "i", "j")
-        .sortWithinPartitions(*key, "i", "j")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j", "label", "dim", "filter")
     )
     found = written(cells.mapInArrow(_linked(how), "a long, n long, b long"), "links")
     drop(reps)
