@@ -23,7 +23,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 #: Bytes of a batch that goes to a Python worker while a table is written.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -48,8 +48,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A table of one or two long columns is broadcast up to this many rows, about 20 MB in memory.
-BROADCAST_ROWS = 1 << 19
+#: A table of one or two long columns is broadcast up to this many rows, about 8 MB in memory.
+BROADCAST_ROWS = 1 << 17
 
 
 def joined(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
