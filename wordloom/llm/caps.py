@@ -61,7 +61,7 @@ def shape(dim: int, vectors: int, how: Caps) -> tuple[float, int]:
         if words > how.most:
             break
         best = height, words
-        if how.codes * words**2 * both_exceed(height, dim, 0.0) * vectors <= how.mates:
+        if how.codes * (words * both_exceed(height, dim, 0.0)) ** 2 * vectors <= how.mates:
             break
     return best
 
@@ -92,8 +92,8 @@ class Code:
         for k, (turn, one, two) in enumerate(self.halves):
             spun = unit @ turn
             first, second = spun[:, :mid] @ one, spun[:, mid:] @ two
-            row, i = np.nonzero(first >= need - second.max(axis=1, keepdims=True))
-            other, j = np.nonzero(second >= need - first.max(axis=1, keepdims=True))
+            row, i = np.divmod(np.flatnonzero(first >= need - second.max(axis=1, keepdims=True)), self.words)
+            other, j = np.divmod(np.flatnonzero(second >= need - first.max(axis=1, keepdims=True)), self.words)
             per = np.bincount(other, minlength=len(unit))
             begin, times = (np.cumsum(per) - per)[row], per[row]
             left = np.repeat(np.arange(len(row)), times)
