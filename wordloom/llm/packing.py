@@ -101,7 +101,8 @@ _PREPARED = (
 #: Letters beyond ASCII that NFC leaves alone and that have one lower-case letter.
 _LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _PLAIN = re.compile(f"[!-~{_LETTERS}]+")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z{_LETTERS}]+|[0-9]|[^A-Za-z0-9{_LETTERS}]+")
+_PLAIN_TEXT = re.compile(f"[!-~ \\n\\t\\r{_LETTERS}]*")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z{_LETTERS}]+|[0-9]|[^A-Za-z0-9 \\n\\t\\r{_LETTERS}]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -128,9 +129,9 @@ class Tokens:
     """Ids of the words of a text; words recur, so each is encoded once while it is remembered.
 
     The vocabulary drops white space and never merges across it, so a text's ids are its words' ids.
-    A word of ASCII and common Latin letters is split and lower-cased here, and its pieces go straight to the
-    tokenizer's model and are remembered too; all other words go through the whole tokenizer, as do
-    all words of a tokenizer that prepares texts otherwise.
+    A text, or else a word, of ASCII and common Latin letters is split and lower-cased here, and its pieces go
+    straight to the tokenizer's model and are remembered too; all other words go through the whole tokenizer,
+    as do all words of a tokenizer that prepares texts otherwise.
     """
 
     def __init__(self, path: str) -> None:
@@ -155,6 +156,8 @@ class Tokens:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.split and "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.known.__getitem__, words))
 
