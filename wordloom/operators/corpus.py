@@ -78,13 +78,13 @@ def postings(found: DataFrame) -> DataFrame:
     return rows.select("sid", F.explode(made).alias("e")).select("sid", "e.word", "e.tf", "e.place")
 
 
-def terms(found: DataFrame) -> DataFrame:
+def terms(found: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(sid, terms): per sentence an array of (word, tf, place, df), df being the sentences of ``found`` that have the word.
 
-    One shuffle by word and one by sentence; once kept, weights and clusters need neither. Sentences
-    without tokens are left out."""
+    One shuffle by word, unless a kept vocabulary ``words`` is small enough for Spark to broadcast, and one
+    by sentence; once kept, weights and clusters need neither. Sentences without tokens are left out."""
     rows = postings(found)
-    words = rows.groupBy("word").agg(F.count("*").alias("df"))
+    words = rows.groupBy("word").agg(F.count("*").alias("df")) if words is None else words.select("word", "df")
     each = F.struct("word", "tf", "place", "df")
     return rows.join(words, "word").groupBy("sid").agg(F.collect_list(each).alias("terms"))  # as many as the sentence has words
 

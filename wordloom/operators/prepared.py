@@ -45,7 +45,7 @@ def prepare(sentences: DataFrame, folder: str) -> Prepared:
     sentences.write.parquet(f"{folder}/sentences")
     found = spark.read.parquet(f"{folder}/sentences")
     corpus.vocab(found).write.parquet(f"{folder}/vocab")
-    corpus.terms(found).write.parquet(f"{folder}/terms")
+    corpus.terms(found, spark.read.parquet(f"{folder}/vocab")).write.parquet(f"{folder}/terms")
     rows = corpus.postings(found).withColumn("bucket", _bucket("word")).hint("rebalance", "bucket")
     rows.sortWithinPartitions("bucket", "word", "sid").write.partitionBy("bucket").parquet(f"{folder}/postings")
     return opened(spark, folder)
