@@ -1,17 +1,23 @@
 """The text engine on small corpora with known values, and its queries against their SQL."""
 
 import math
+import random
 import sqlite3
+from collections import Counter
+from itertools import combinations
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wordloom import queries
+from wordloom.functions import normalize
 from wordloom.functions.pos import useful_words
 from wordloom.operators import association as A
 from wordloom.operators import corpus as C
 from wordloom.operators import exclusive as X
+from wordloom.operators import pairs
 from wordloom.operators import search as S
 from wordloom.operators import views as V
 from wordloom.operators.prepared import prepare
@@ -107,6 +113,76 @@ def test_all_pairs_equal_brute_force(found):
     assert {(r["w1"], r["w2"]): r["cooc"] for r in A.pair_counts(found).collect()} == pairs
 
 
+@pytest.mark.parametrize("name", ["npmi_pairs"])
+def test_pair_queries_shuffle_packed_blocks_only(spark, name):
+    """No table is written for them, no row a pair or a word is shuffled, and a pair takes few bytes on the way."""
+    queries.release(spark)
+    rows = queries.QUERIES[name](spark, DIR)
+    assert not queries._prepared
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and plan.count("RepartitionByExpression") == 1
+    assert set(rows.columns) >= {"w1", "w2", "cooc"}
+    ws = C.sentences(queries.documents(spark, DIR)).select(F.col("tokens").alias("ws"))
+    sent = ws.mapInArrow(pairs._packed(2), pairs._PACKED).where("part >= 0").agg(F.sum(F.length("data"))).first()[0]
+    assert sent < 4 * rows.count()
+
+
+def _by_hand(sentences):
+    count, df = Counter(), Counter()
+    for row in sentences:
+        words = sorted(set(row or ()))
+        df.update(words)
+        count.update(combinations(words, 2))
+    return {(a, b, n, df[a], df[b], len(sentences)) for (a, b), n in count.items()}
+
+
+def test_packed_pairs_equal_brute_force(monkeypatch):
+    """Sources that are cut off early, counts too large for their room, null and empty rows, repeated words, letters of several bytes."""
+    for name, value in (("RAW", 300), ("HELD", 900), ("ADDED", 500), ("_LOOKED_UP", 400), ("_ROWS", 70)):
+        monkeypatch.setattr(pairs, name, value)
+    rng = random.Random(5)
+    words = [f"{c}{k}" for c in ("a", "é", "字", "🙂") for k in range(60)]
+    rows = [[rng.choice(words[: rng.choice((3, 40, 240))]) for _ in range(rng.randrange(14))] for _ in range(900)] + [None, [], ["a0"], words[:50]] + [["a0", "a1", "a1"]] * 400
+    for buckets in (1, 3, 64):
+        sent = []
+        for task in range(2):
+            held, source = pairs._Source(buckets), 0
+            for k in range(task, len(rows), 20):
+                held.add(pa.array(rows[k : k + 20 : 2], pa.list_(pa.string())))
+                if held.full():
+                    sent, held, source = [*sent, held.blocks(task << 32 | source)], pairs._Source(buckets), source + 1
+            sent.append(held.blocks(task << 32 | source))
+        assert len(sent) > 4
+        table = pa.Table.from_batches(sent).sort_by([(c, "ascending") for c in ("block", "part", "source")])
+        columns = ("w1", "w2", "cooc", "df1", "df2", "n_sentences", "pmi", "npmi")
+        found = [r for b in pairs._added(columns, 6)(iter(table.to_batches(max_chunksize=50))) for r in b.to_pylist()]
+        expected = _by_hand(rows)
+        assert len(found) == len(expected) and {tuple(r[c] for c in columns[:6]) for r in found} == expected
+        for r in found:
+            p = math.log(r["cooc"] * r["n_sentences"] / (r["df1"] * r["df2"]))
+            assert r["pmi"] == pytest.approx(p, abs=1e-6) and r["npmi"] == pytest.approx(p / -math.log(r["cooc"] / r["n_sentences"]), abs=1e-6)
+
+
+def test_pairs_of_frequent_words_and_scores(spark, found):
+    rows = A.scored_pairs(found, min_df=2).collect()
+    assert sorted((r["w1"], r["w2"], r["cooc"], r["df1"], r["df2"]) for r in rows) == [("learning", "machine", 2, 4, 2), ("learning", "neural", 1, 4, 2)]
+    assert {r["w2"]: r["pmi"] for r in rows}["machine"] == pytest.approx(math.log(1.25))
+    same = C.from_processed(spark.createDataFrame([(0, "a b"), (1, "B A")], "sentence_index long, processed_text string"))
+    assert [tuple(r) for r in A.scored_pairs(same).collect()] == [("a", "b", 2, 2, 2, 0.0, 0.0)]
+    assert A.pair_counts(same.where("sid < 0")).count() == 0
+
+
+def test_tokens_with_and_without_what_patterns_need(spark):
+    texts = ["See http://a.b/c now, ok", "wwww.x www.a.b c", "wwhttp://q w.z", "a...b c. ", "1,000 a,b 1:30 c:", "we're isn't o'clock n't 'S", "x. y.", ".", "", None, "don't; a--b (c)", "\u2028a \tb\u2028 c\u2028\u2029\nd\u0085\r\ne\u00a0f \u2029", "𝒳𝒳 a𝒳 🙂a a🙂 \u0130x x_y ½ ٣"]
+    expected = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    plain = F.lower("t")
+    for pattern, by in [*((x, "") for x in normalize.LINKS), *normalize.SPLITS]:
+        plain = F.regexp_replace(plain, pattern, normalize._java(by))
+    plain = F.filter(F.split(plain, r"\s+"), lambda w: w.rlike(normalize.TOKEN) & ~w.isin(*normalize.STOP_WORDS))
+    rows = expected.select(plain.alias("a"), normalize.tokens(F.col("t")).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+
+
 def test_every_query_has_its_sql():
     assert set(queries.QUERIES) == set(oracle.SQL)
 

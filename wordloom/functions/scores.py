@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +25,17 @@ def npmi(together: Column, first: Column, second: Column, total: Column) -> Colu
 def idf(df: Column, total: Column) -> Column:
     """Smoothed: ln((1 + N) / (1 + df)) + 1."""
     return F.log((1 + total).cast("double") / (1 + df).cast("double")) + 1
+
+
+def of_arrays(together: np.ndarray, first: np.ndarray, second: np.ndarray, total: int) -> dict[str, np.ndarray]:
+    """``pmi`` and ``npmi`` of pairs in at least one sentence, by the same steps."""
+    share = together / total
+    found = np.log(share / ((first / total) * (second / total)))
+    below = -np.log(share)
+    return {"pmi": found, "npmi": np.divide(found, below, out=np.zeros_like(found), where=below != 0)}
+
+
+def rounded_array(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from 0; no negative 0."""
+    unit = 10.0**digits
+    return np.trunc(x * unit + np.copysign(0.5, x)) / unit + 0.0

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.pos import useful
 from ..functions.scores import npmi, pmi
-from .corpus import distinct_postings, lowered, vocab, with_size
+from . import pairs
+from .corpus import distinct_postings, lowered, with_size
 from .search import containing
 
 
@@ -28,21 +29,23 @@ class Options:
     excluded: tuple[str, ...] = ()
 
 
+def _word_lists(found: DataFrame, min_df: int) -> DataFrame:
+    """(ws): the words of each sentence in lower case, or those in at least min_df sentences; a row per sentence."""
+    if min_df <= 1:
+        return found.select(lowered().alias("ws"))
+    words = distinct_postings(found, lower=True)
+    words = words.join(words.groupBy("word").count().where(F.col("count") >= min_df).select("word"), "word", "left_semi")
+    lists = words.groupBy("sid").agg(F.collect_list("word").alias("ws"))
+    return found.select("sid").join(lists, "sid", "left").select("ws")
+
+
 def pair_counts(found: DataFrame, min_df: int = 1) -> DataFrame:
     """(w1, w2, cooc) with w1 < w2, of every word or of those in at least min_df sentences.
 
-    Pairs are made within sentences and pre-aggregated; it is quadratic in a sentence's words, which
-    is why seed queries use ``with_seed`` instead.
+    Pairs are made within sentences and added up in packed blocks; it is quadratic in a sentence's words,
+    which is why seed queries use ``with_seed`` instead.
     """
-    if min_df > 1:
-        words = distinct_postings(found, lower=True)
-        words = words.join(words.groupBy("word").count().where(F.col("count") >= min_df).select("word"), "word", "left_semi")
-        rows = words.groupBy("sid").agg(F.sort_array(F.collect_list("word")).alias("ws"))
-    else:
-        rows = found.select(F.sort_array(F.array_distinct(lowered())).alias("ws"))
-    left = rows.select("ws", F.posexplode("ws").alias("i", "w1"))
-    pairs = left.select("w1", F.explode(F.slice("ws", F.col("i") + 2, F.size("ws"))).alias("w2"))
-    return pairs.groupBy("w1", "w2").agg(F.count("*").alias("cooc"))
+    return pairs.counted(_word_lists(found, min_df))
 
 
 def pair_count(found: DataFrame, one: str, two: str) -> DataFrame:
@@ -52,13 +55,9 @@ def pair_count(found: DataFrame, one: str, two: str) -> DataFrame:
     return both.agg(F.count("*").alias("cooc")).select(F.lit(a).alias("w1"), F.lit(b).alias("w2"), "cooc")
 
 
-def scored_pairs(found: DataFrame, min_df: int = 1, words: DataFrame | None = None) -> DataFrame:
-    """Pairs with df1, df2, pmi and npmi. ``words``: the lower-case vocabulary of ``found``, if it is kept."""
-    words = vocab(found, lower=True) if words is None else words
-    pairs = pair_counts(found, min_df)
-    pairs = pairs.join(words.select(F.col("word").alias("w1"), F.col("df").alias("df1")), "w1").join(words.select(F.col("word").alias("w2"), F.col("df").alias("df2")), "w2")
-    args = [F.col(c) for c in ("cooc", "df1", "df2", "n_sentences")]
-    return with_size(pairs, found).select("w1", "w2", "cooc", "df1", "df2", pmi(*args).alias("pmi"), npmi(*args).alias("npmi"))
+def scored_pairs(found: DataFrame, min_df: int = 1, scores: tuple[str, ...] = ("df1", "df2", "pmi", "npmi"), digits: int | None = None) -> DataFrame:
+    """Pairs with df1, df2, pmi and npmi or some of these; the frequencies and N come with the pairs, in the same pass over ``found``."""
+    return pairs.counted(_word_lists(found, min_df), ("w1", "w2", "cooc", *scores), digits)
 
 
 def with_seed(found: DataFrame, seed: str, words: DataFrame | None = None) -> DataFrame:
